@@ -5,6 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer(), window=2048, end_id=1)
 
 
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +32,14 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_host_rules, op6_histogram_shards)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op6_histogram_shards, op9_line_dedup)}
 
 OP2_SQL = r"""
 WITH d AS (
@@ -55,4 +75,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM c JOIN verdict ON c.domain IS NOT DISTINCT FROM verdict.domain
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_host_rules": OP2_SQL}
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
+hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot.key)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (hot.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_host_rules": OP2_SQL, "op9_line_dedup": OP9_SQL}
