@@ -26,6 +26,12 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idstore import read_digests, write_store
+
+    return read_digests(spark, write_store(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer(), end_id=2))
+
+
 def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -39,7 +45,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op6_histogram_shards, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op5_id_store, op6_histogram_shards, op9_line_dedup)}
 
 OP2_SQL = r"""
 WITH d AS (
