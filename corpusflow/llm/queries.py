@@ -45,7 +45,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op5_id_store, op6_histogram_shards, op9_line_dedup)}
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maintext import extract_main_text
+
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ziparchive import package_pages
+
+    return package_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), least=1000)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op5_id_store, op6_histogram_shards, op7_main_text, op9_line_dedup, op10_warc_zip)}
 
 OP2_SQL = r"""
 WITH d AS (
@@ -90,4 +102,13 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(hot.key)::BIGINT AS n_dropped,
 FROM k LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_host_rules": OP2_SQL, "op9_line_dedup": OP9_SQL}
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM w
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_host_rules": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_warc_zip": OP10_SQL}
