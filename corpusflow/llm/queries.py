@@ -38,6 +38,12 @@ def op6_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -57,7 +63,7 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), least=1000)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op5_id_store, op6_histogram_shards, op7_main_text, op9_line_dedup, op10_warc_zip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op5_id_store, op6_histogram_shards, op7_main_text, op8_decontaminate, op9_line_dedup, op10_warc_zip)}
 
 OP2_SQL = r"""
 WITH d AS (
@@ -93,6 +99,42 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM c JOIN verdict ON c.domain IS NOT DISTINCT FROM verdict.domain
 """
 
+_OP8_UNITS = "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl dl l liter liters litre litres gallon gallons s sec secs min mins h hr hrs second seconds minute minutes hour hours day days week weeks month months year years percent cent cents dollar dollars euro euros usd eur gbp kb mb gb tb".replace(" ", "|")
+OP8_SQL = rf"""
+WITH src AS (
+  SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+tok AS (
+  SELECT k, id, unnest(w) AS o, generate_subscripts(w, 1) - 1 AS p
+  FROM (SELECT k, id, string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM src)),
+lagged AS (SELECT *, lag(o) OVER (PARTITION BY k, id ORDER BY p) AS before FROM tok),
+canon AS (
+  SELECT k, id, p, o,
+    CASE WHEN before IS NOT NULL AND before <> '' AND right(before, 1) NOT IN ('.', '!', '?', ':', '"') AND regexp_matches(o, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') THEN '#n'
+         WHEN regexp_matches(o, '^[^\p{{L}}\p{{N}}]*\p{{N}}') THEN '#d'
+         WHEN regexp_matches(lower(o), '^[^\p{{L}}\p{{N}}]*({_OP8_UNITS})[^\p{{L}}\p{{N}}]*$') THEN '#u'
+         ELSE lower(regexp_replace(o, '[^\p{{L}}\p{{N}}]+', '', 'g')) END AS c
+  FROM lagged),
+win AS (
+  SELECT k, id, p, string_agg(c, ' ') OVER f AS g, count(*) OVER f AS n, count(*) FILTER (c <> '' AND c NOT LIKE '#%') OVER f AS own
+  FROM canon WINDOW f AS (PARTITION BY k, id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+bw AS (SELECT id, p, g FROM win WHERE k = 'b' AND n = 8 AND own >= 4),
+bn AS (SELECT id, count(*) AS windows FROM bw GROUP BY id),
+m AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift, count(DISTINCT b.p) AS n_windows, min(b.p) AS first, max(b.p) + 7 AS last
+  FROM win d JOIN bw b USING (g) WHERE d.k = 'd' AND d.n = 8 GROUP BY ALL),
+hit AS (SELECT m.* FROM m JOIN bn ON bn.id = m.item_id WHERE n_windows >= least(6, windows)),
+pair AS (
+  SELECT hit.*, lower(regexp_replace(b.o, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS a, lower(regexp_replace(d.o, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS e
+  FROM hit LEFT JOIN canon b ON b.k = 'b' AND b.id = hit.item_id AND b.p BETWEEN hit.first AND hit.last AND b.c LIKE '#%'
+           LEFT JOIN canon d ON d.k = 'd' AND d.id = hit.doc_id AND d.p = b.p + hit.shift),
+held AS (
+  SELECT doc_id, item_id, first + shift AS first_word, n_windows, count(a) AS n_slots, count(a) FILTER (a IS DISTINCT FROM e) AS n_changed
+  FROM pair GROUP BY doc_id, item_id, shift, first, n_windows HAVING count(DISTINCT a) = count(DISTINCT CASE WHEN a IS NOT NULL THEN a || chr(1) || coalesce(e, chr(2)) END)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, first_word) AS r FROM held)
+SELECT doc_id, item_id, first_word::BIGINT AS first_word, n_windows::BIGINT AS n_windows, n_slots::BIGINT AS n_slots, n_changed::BIGINT AS n_changed
+FROM best WHERE r = 1
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
@@ -111,4 +153,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM w
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_host_rules": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_warc_zip": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_host_rules": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_warc_zip": OP10_SQL}
