@@ -26,6 +26,12 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import classify
+
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
@@ -69,7 +75,7 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"), least=1000)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op4_jaccard_join, op5_id_store, op6_histogram_shards, op7_main_text, op8_decontaminate, op9_line_dedup, op10_warc_zip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack_windows, op2_host_rules, op3_quality_perplexity, op4_jaccard_join, op5_id_store, op6_histogram_shards, op7_main_text, op8_decontaminate, op9_line_dedup, op10_warc_zip)}
 
 OP2_SQL = r"""
 WITH d AS (
