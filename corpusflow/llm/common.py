@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import shutil
 import tempfile
+import unicodedata
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +71,31 @@ def let(value, body) -> F.Column:
 
 
 class WordCoder:
-    """Token ids of texts by a tokenizer that never joins characters across a space or line feed.
+    """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
-    Such a tokenizer encodes each run of other characters alone, so runs met before come from a bounded memory
-    (as little-endian unsigned 32-bit ids); only new ones go through the tokenizers library.
+    A tokenizer of the form below never joins characters across a space, so each run of other characters is encoded alone
+    and kept in a bounded memory; a run of lower-case letters is one word to it, which goes straight to the tokenizer's
+    model. Any other tokenizer encodes whole texts.
     """
 
+    # The steps before the model that make words independent of each other.
+    NORMAL = ["NFC", "Replace", "Lowercase"]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 1_300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
+        spec = json.loads(self.coder.to_str())
+        first, before = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_words = [x["type"] for x in first.get("normalizers", [])] == self.NORMAL and before[0].get("pattern") == {"Regex": self.PATTERN} and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        # Characters that stand for bytes in the model: printable ones for themselves, the others from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [x for x in range(256) if x not in plain]
+        self.letters = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -86,16 +104,44 @@ class WordCoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _new(self, word: str) -> bytes:
+        if word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            spelt = word if word.isascii() else "".join([self.letters[x] for x in word.encode()])
+            return b"".join([t.id.to_bytes(4, "little") for t in self.coder.model.tokenize(spelt)])
+        # A full stop or comma after a letter is a token of its own; case doesn't matter to the tokenizer in ASCII.
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            return self._ids(word[:-1]) + self._ids(word[-1])
+        if "<|" not in word and word.isascii() and (low := word.lower()) != word:
+            return self._ids(low)
+        return b"".join([i.to_bytes(4, "little") for i in self.coder.encode(word, add_special_tokens=False).ids])
+
+    def _ids(self, word: str) -> bytes:
+        if (found := self.known.get(word)) is None:
+            found = self.known[word] = self._new(word)
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array. Words are split and told apart by Arrow; Python sees distinct ones only."""
+        texts = texts.fill_null("")
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         if len(self.known) > self.limit:
             self.known = {"": b""}
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.coder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = pa.array([self._ids(w) for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        _, edges, data = ids.buffers()
+        at = np.frombuffer(edges, np.int64)[ids.offset + lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most so many rows, and (unless one row alone has more) bytes of text in a column."""
+    long = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = long[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(long, before + size, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCoder, fresh_dir, materialize
+from .common import WordCoder, fresh_dir, materialize, slices
 
 #: Cut where the low bits of the rolling hash are zero: 512 ids on average, within these bounds.
 MEAN_BITS, LEAST, MOST, REACH = 9, 64, 4096, 16
@@ -113,12 +113,11 @@ def _spool(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFram
         coder, gear, end = WordCoder.of(tokenizer), _gear(), end_id.to_bytes(4, "little")
         sent: set[bytes] = set()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, "text"):
                 rows, fresh = [], {}
                 if len(sent) > 500_000:
                     sent.clear()
-                for raw in coder.encode(part.column(1).to_pylist()):
+                for raw in coder.encode(part.column(1)):
                     ids = np.frombuffer(raw + end, "<u4")
                     small, own, at = ids.astype("<u2").tobytes() if width == 2 else ids.tobytes(), [], 0
                     for stop in cut_points(ids, gear):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WordCoder, materialize
+from .common import WordCoder, materialize, slices
 
 UNITS = 256
 
@@ -38,10 +38,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = WordCoder.of(tokenizer), end_id.to_bytes(4, "little"), 4 * window
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, "text"):
                 rows: list[list] = [[] for _ in names]
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
                     ids += end
                     for at in range(0, len(ids), step):
                         piece = ids[at : at + step]
