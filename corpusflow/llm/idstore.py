@@ -352,7 +352,8 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     recipes = read_recipes(spark, folder)
     each = F.transform(F.sequence(F.lit(0), F.expr("cast(length(digests) / 16 as int) - 1")), lambda i: F.substring(F.col("digests"), i * 16 + 1, F.lit(16)))
     parts = recipes.select("row", "doc_id", "start", "n_tokens", F.posexplode(each).alias("at", "digest"))
-    joined = parts.join(read_chunks(spark, folder, payload=False), "digest")
+    # The planner knows the number of files only, so it must be told that neither side is small.
+    joined = parts.join(read_chunks(spark, folder, payload=False).hint("merge"), "digest")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents come whole and in order of their parts; the last of a batch waits for the next batch."""
@@ -395,7 +396,7 @@ def read_ids(spark: SparkSession, folder: str, doc_ids: DataFrame | None = None)
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     each = F.transform(F.sequence(F.lit(0), F.expr("cast(length(digests) / 16 as int) - 1")), lambda i: F.substring(F.col("digests"), i * 16 + 1, F.lit(16)))
-    parts = recipes.select("row", "doc_id", "start", F.posexplode(each).alias("at", "digest")).join(read_chunks(spark, folder).select("digest", "payload"), "digest")
+    parts = recipes.select("row", "doc_id", "start", F.posexplode(each).alias("at", "digest")).join(read_chunks(spark, folder).select("digest", "payload").hint("merge"), "digest")
     whole = parts.groupBy("row", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("parts"))
     width = manifest["width"]
 
