@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions alone.
 
-Words of documents and benchmark items become templates: a token that begins with a digit is a number, one of UNITS is a
-unit, a capitalised token inside a sentence is a name, any other is itself in lower case without punctuation. Windows of 8
+Words of documents and benchmark items become templates: a token that begins with a digit is a number, a
+capitalised token inside a sentence a name, one of UNITS a unit, any other is itself in lower case without punctuation. Windows of 8
 template tokens are joined by hash. Matches of a document and an item on one diagonal (equal distance of positions) are
 counted; a document with enough of an item's windows (6, which is 13 tokens in a row, or all of a shorter item) is held
 to slot consistency: in the matched range, equal values of the item's slots stand for equal values in the document. So a
@@ -33,17 +33,26 @@ def _flat(text) -> F.Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, " " * 6), " {2,}", " "))
 
 
-def _template(flat) -> F.Column:
-    """Template tokens, one for each token of `flat`. Slots are \\u0001 and a letter."""
+def _tokens(flat) -> F.Column:
+    """Tokens of `flat`, as many as it has: numbers and names as slots (\\u0001 and a letter), others bare and in lower case."""
     named = F.regexp_replace(flat, r'(?<=[^.!?:" ] )[^\p{L}\p{N} ]*\p{Lu}[^ ]*', "\u0001n")
     numbered = F.regexp_replace(F.lower(named), r"(?<![^ ])[^\p{L}\p{N}\x{1} ]*\p{N}[^ ]*", "\u0001d")
-    united = F.regexp_replace(numbered, r"(?<![^ ])[^\p{L}\p{N}\x{1} ]*(?:" + "|".join(UNITS.split()) + r")[^\p{L}\p{N}\x{1} ]*(?![^ ])", "\u0001u")
-    return F.split(F.regexp_replace(united, r"[^\p{L}\p{N}\x{1} ]+", ""), " ")
+    return F.split(F.regexp_replace(numbered, r"[^\p{L}\p{N}\x{1} ]+", ""), " ")
+
+
+def _template(flat) -> F.Column:
+    """Template tokens, with units as slots too."""
+    return F.transform(_tokens(flat), lambda x: F.when(x.isin(*UNITS.split()), "\u0001u").otherwise(x))
+
+
+def _codes(flat) -> F.Column:
+    """Hashes of the template tokens."""
+    return let(_tokens(flat), lambda w: F.transform(w, lambda x: F.when(x.isin(*UNITS.split()), F.xxhash64(F.lit("\u0001u"))).otherwise(F.xxhash64(x))))
 
 
-def _hashes(tokens, width: int) -> F.Column:
+def _hashes(codes, width: int) -> F.Column:
     """Hash of every window of `width` tokens, in order; none if there are fewer tokens."""
-    return F.when(F.size(tokens) >= width, let(tokens, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))))
+    return let(codes, lambda w: F.when(F.size(w) >= width, F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)])), 1, F.size(w) - (width - 1))))
 
 
 def _bare(value) -> F.Column:
@@ -53,10 +62,14 @@ def _bare(value) -> F.Column:
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """item_id, at (place of the window, from 0), width, hash, windows (how many the item has)."""
     items = benchmark.select("item_id", _template(_flat(F.col("text"))).alias("tokens")).withColumn("width", F.least(F.lit(width), F.size("tokens")))
+    hashed = F.xxhash64(*[F.xxhash64(F.get("window", k)) for k in range(width)])
+    # Nulls don't enter a hash, but the hash of a missing token would.
+    for w in range(width - 1, 0, -1):
+        hashed = F.when(F.col("width") == w, F.xxhash64(*[F.xxhash64(F.get("window", k)) for k in range(w)])).otherwise(hashed)
     place = F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))).alias("at")
     windows = items.select("item_id", "width", "tokens", place).withColumn("window", F.slice("tokens", F.col("at") + 1, F.col("width")))
     own = F.size(F.filter("window", lambda x: (x != "") & ~x.startswith("\u0001")))
-    used = windows.where(own >= LEAST_OWN).select("item_id", "at", "width", F.xxhash64("window").alias("hash"))
+    used = windows.where(own >= LEAST_OWN).select("item_id", "at", "width", hashed.alias("hash"))
     return used.join(used.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows")).withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
 
 
@@ -68,7 +81,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataF
     found = None
     for w in widths:
         own = wanted.where(F.col("width") == w).select("item_id", "at", "hash", "windows")
-        there = docs.select("doc_id", F.posexplode(_hashes(_template(_flat(F.col("text"))), w)).alias("place", "hash"))
+        there = docs.select("doc_id", F.posexplode(_hashes(_codes(_flat(F.col("text"))), w)).alias("place", "hash"))
         part = there.join(F.broadcast(own) if few else own, "hash").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "windows", F.lit(w).alias("width"))
         found = part if found is None else found.unionByName(part)
     grouped = found.groupBy("doc_id", "item_id", "shift").agg(F.size(F.collect_set("at")).alias("n_windows"), F.min("at").alias("first"), (F.max("at") + F.max("width") - 1).alias("last"), F.max("windows").alias("windows"))

@@ -123,7 +123,7 @@ canon AS (
   SELECT k, id, p, o,
     CASE WHEN before IS NOT NULL AND before <> '' AND right(before, 1) NOT IN ('.', '!', '?', ':', '"') AND regexp_matches(o, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') THEN '#n'
          WHEN regexp_matches(o, '^[^\p{{L}}\p{{N}}]*\p{{N}}') THEN '#d'
-         WHEN regexp_matches(lower(o), '^[^\p{{L}}\p{{N}}]*({_OP8_UNITS})[^\p{{L}}\p{{N}}]*$') THEN '#u'
+         WHEN list_contains(string_split('{_OP8_UNITS}', '|'), lower(regexp_replace(o, '[^\p{{L}}\p{{N}}]+', '', 'g'))) THEN '#u'
          ELSE lower(regexp_replace(o, '[^\p{{L}}\p{{N}}]+', '', 'g')) END AS c
   FROM lagged),
 win AS (
