@@ -48,8 +48,8 @@ def json_part(reply: Column) -> Column:
 
 def parse_judgement(reply: Column) -> Column:
     """struct<score int, reason string>; null if the reply holds no JSON object. A missing score counts as the lowest."""
-    parsed = F.from_json(json_part(reply), "score double, reason string, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
-    score = clamp_score(F.coalesce(parsed["score"].cast("int"), F.lit(0)))
+    parsed = F.from_json(json_part(reply), "score string, reason string, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    score = clamp_score(F.coalesce(parsed["score"].try_cast("double").cast("int"), F.lit(0)))
     return F.when(parsed.isNotNull() & parsed["broken"].isNull(), F.struct(score.cast("int").alias("score"), stripped(text_or_empty(parsed["reason"])).alias("reason")))
 
 

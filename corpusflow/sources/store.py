@@ -36,7 +36,12 @@ class Store:
     def read_text(self, name: str) -> str | None:
         if not self.exists(name):
             return None
-        return self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()[0]
+        fs, path = self._path(name)
+        stream = fs.open(path)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def write_text(self, name: str, text: str) -> None:
         """Whole or not at all: written beside, then renamed."""
