@@ -41,8 +41,9 @@ def detect(responses: DataFrame, manifest: DataFrame, run_id: str, now: Column,
     """One row a response with its event and the manifest record that follows.
 
     responses: schemas.RESPONSE, lastmod, and `page` (struct of schemas.PAGE) with extract_error. Columns: run_id, event,
-    via, prev_content_hash, body, is_version, and those of schemas.MANIFEST. A page that keeps failing in the same way as
-    removed (still listed but gone) gives its event once: rows that say nothing new have is_repeat true.
+    via, prev_content_hash, body, is_version, and those of schemas.MANIFEST. A page that is listed but gone gives its event
+    once: later rows that say nothing new have is_repeat true. An error that isn't the site's leaves the status of a page
+    with content as it was.
     """
     old = manifest.select(F.col("url").alias("_url"), F.struct(*[c for c in manifest.columns]).alias("was"))
     rows = responses.join(old, F.col("url") == F.col("_url"), "left").drop("_url")
@@ -58,7 +59,8 @@ def detect(responses: DataFrame, manifest: DataFrame, run_id: str, now: Column,
     fresh = lambda new, name: F.when(answered, new).otherwise(was[name])
     status = F.when(F.col("event").isin("blocked", "removed", "error"), F.col("event")).otherwise("active")
     # A page that had content keeps its status when only the work on it failed.
-    status = F.when((F.col("event") == "error") & F.col("status").isNull() & F.coalesce(F.col("unexpected"), F.lit(False)) & ~F.col("_new"), was["status"]).otherwise(status) if "unexpected" in responses.columns else status
+    kept = F.coalesce("unexpected", F.lit(False)) & was["content_hash"].isNotNull()
+    status = F.when((F.col("event") == "error") & kept, was["status"]).otherwise(status)
     record = {
         "doc_id": doc_id,
         "section": section_of(F.col("url"), sections or {}),

@@ -24,7 +24,7 @@ CONCEPT = "id string, name string, plain string, one_liner string, claims array<
 CARD = "concept_id string, anchor_id string, anchor_label string, bridge string, where_it_breaks string, check struct<q:string,a:string>, mapping array<struct<concept:string,maps_to:string>>, teaching_score int, teaching_reason string"
 SCORE = "concept_id string, anchor_id string, score int"
 STATE = "profile string, doc_id string, url string, version int, content_hash string"
-RESPONSE = "url string, status int, body binary, etag string, last_modified string, final_url string, allowed boolean, error string"
+RESPONSE = "url string, status int, body binary, etag string, last_modified string, final_url string, allowed boolean, error string, unexpected boolean"
 
 
 def struct_of(ddl: str) -> T.StructType:
