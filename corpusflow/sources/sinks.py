@@ -64,9 +64,14 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                 body = content if isinstance(content, bytes) else content.encode()
                 where = f"{root}/{path}"
                 fs.create_dir(where.rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(f"{where}.{TaskContext.get().taskAttemptId()}.tmp") as out:
+                temporary = f"{where}.{TaskContext.get().taskAttemptId()}.tmp"
+                with fs.open_output_stream(temporary) as out:
                     out.write(body)
-                fs.move(f"{where}.{TaskContext.get().taskAttemptId()}.tmp", where)
+                try:
+                    fs.move(temporary, where)
+                except OSError:  # a file system that doesn't replace what is there
+                    fs.delete_file(where)
+                    fs.move(temporary, where)
                 sizes.append(len(body))
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
