@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import json
 import os
 import shutil
@@ -51,12 +53,61 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that this process has written. Frames that read them are unusable afterwards."""
+def tables_written() -> int:
+    """A mark for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Deletes the tables written since a mark, without the last `but`. Frames that read them are unusable afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in _written[since : len(_written) - but]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(name)
+
+
+def settled(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """Writes a result and deletes the tables it was made from, written since a mark."""
+    done = materialize(df, tag)
+    release(df.sparkSession, since, but=1)
+    return done
+
+
+_owner = ""
+
+
+def own_memory(owner: str) -> None:
+    """Called where an operator's task begins. Python workers outlive tasks, so what another operator's tasks keep in this
+    worker is dropped, and freed memory goes back to the system."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    WordCoder._made.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def file_system(path: str):
+    """The file system and path of a URI: local, or one that the cluster's Arrow library reaches (hdfs, s3, gs, abfs)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def put_in_place(fs, temporary: str, name: str) -> None:
+    """Renames a finished file. A task that runs again after its executor was lost replaces the file by an equal one, which
+    some file systems don't do by themselves."""
+    try:
+        fs.move(temporary, name)
+    except OSError:
+        fs.delete_file(name)
+        fs.move(temporary, name)
 
 
 def words_of(text) -> F.Column:
@@ -84,11 +135,11 @@ class WordCoder:
 
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 1_300_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.coder, self.limit, self.known = Tokenizer.from_file(path), limit, {"": b""}
+        self.coder, self.limit, self.young, self.old = Tokenizer.from_file(path), limit, {}, {}
         spec = json.loads(self.coder.to_str())
         first, before = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_words = [x["type"] for x in first.get("normalizers", [])] == self.NORMAL and before[0].get("pattern") == {"Regex": self.PATTERN} and [x["type"] for x in before] == ["Split", "ByteLevel"]
@@ -100,6 +151,7 @@ class WordCoder:
     @classmethod
     def of(cls, path: str) -> WordCoder:
         """One for each file and Python worker, so that tasks of a worker share it."""
+        own_memory("words")
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
@@ -108,35 +160,44 @@ class WordCoder:
         if word.isalpha() and word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
             spelt = word if word.isascii() else "".join([self.letters[x] for x in word.encode()])
             return b"".join([t.id.to_bytes(4, "little") for t in self.coder.model.tokenize(spelt)])
-        # A full stop or comma after a letter is a token of its own; case doesn't matter to the tokenizer in ASCII.
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            return self._ids(word[:-1]) + self._ids(word[-1])
-        if "<|" not in word and word.isascii() and (low := word.lower()) != word:
-            return self._ids(low)
         return b"".join([i.to_bytes(4, "little") for i in self.coder.encode(word, add_special_tokens=False).ids])
 
-    def _ids(self, word: str) -> bytes:
-        if (found := self.known.get(word)) is None:
-            found = self.known[word] = self._new(word)
+    def _known(self, words: np.ndarray) -> list[bytes]:
+        """Ids of distinct words."""
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = old.get(word)
+                found[i] = young[word] = self._new(word) if ids is None else ids
+        if len(young) > self.limit:  # words not met again since the last time are forgotten
+            self.young, self.old = {}, young
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text of a string array. Words are split and told apart by Arrow; Python sees distinct ones only."""
+        """Ids of each text of a string array. Arrow splits words and tells them apart; Python sees distinct ones only."""
         texts = texts.fill_null("")
         if not self.by_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        ids = pa.array([self._ids(w) for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
-        _, edges, data = ids.buffers()
-        at = np.frombuffer(edges, np.int64)[ids.offset + lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        # Case doesn't matter to the tokenizer in ASCII, and a full stop or comma after a letter is a token of its own.
+        words = coded.dictionary
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        ends = pc.match_substring_regex(words, r"\pL[.,]$")
+        stems = pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        stops = pc.if_else(ends, pc.utf8_slice_codeunits(words, -1), "").dictionary_encode()
+        ids = [pa.array(self._known(x.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(x.indices) for x in (stems, stops)]
+        flat = pc.binary_join_element_wise(*ids, pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, edges, data = flat.buffers()
+        at = np.frombuffer(edges, np.int64)[flat.offset + lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
         whole = memoryview(data) if data is not None else memoryview(b"")
         return [bytes(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
-def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, rows: int = 2500, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most so many rows, and (unless one row alone has more) bytes of text in a column."""
     long = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     lo = 0
@@ -145,3 +206,31 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 32 <
         hi = min(lo + rows, max(lo + 1, int(np.searchsorted(long, before + size, "right"))))
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, rows: int = 2500, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many rows or bytes of text in a column, whichever comes first."""
+    held: list[pa.RecordBatch] = []
+    n = long = 0
+    for batch in batches:
+        for part in slices(batch, column, rows, size):
+            own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and (n + part.num_rows > rows or long + own > size):
+                yield _joined(held)
+                held, n, long = [], 0, 0
+            held.append(part)
+            n, long = n + part.num_rows, long + own
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds what a batch of texts takes in the JVM and in Python: unless the session says otherwise, rows cross between
+    them a thousand at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

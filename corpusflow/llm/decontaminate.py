@@ -115,4 +115,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that contain a benchmark item."""
     bad = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_doc")).distinct(), "bench-bad")
     few = bad.count() <= BROADCAST_WINDOWS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(F.col("bad_doc")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["bad_doc"]), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCoder, fresh_dir, materialize, slices
+from .common import WordCoder, file_system, fresh_dir, materialize, put_in_place, regrouped, release, small_batches, tables_written
 
 #: Cut where the low bits of the rolling hash are zero: 512 ids on average, within these bounds.
 MEAN_BITS, LEAST, MOST, REACH = 9, 64, 4096, 16
@@ -78,21 +78,14 @@ def cut_points(ids: np.ndarray, gear: np.ndarray) -> list[int]:
     return ends
 
 
-def _fs(path: str):
-    """The file system and path of a URI: local, or one that the cluster's Arrow library reaches (hdfs, s3, gs, abfs)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _write_once(folder: str, name: str, write) -> None:
-    fs, root = _fs(folder)
+    fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     context = TaskContext.get()
     attempt = f"{root}/.{name}.{context.taskAttemptId() if context else 0}"
     with fs.open_output_stream(attempt) as out:
         write(out)
-    fs.move(attempt, f"{root}/{name}")
+    put_in_place(fs, attempt, f"{root}/{name}")
 
 
 def _merkle(leaves: list[bytes]) -> bytes:
@@ -112,34 +105,33 @@ def _spool(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFram
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, gear, end = WordCoder.of(tokenizer), _gear(), end_id.to_bytes(4, "little")
         sent: set[bytes] = set()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, fresh = [], {}
-                if len(sent) > 500_000:
-                    sent.clear()
-                for raw in coder.encode(part.column(1)):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    small, own, at = ids.astype("<u2").tobytes() if width == 2 else ids.tobytes(), [], 0
-                    for stop in cut_points(ids, gear):
-                        chunk = small[at * width : stop * width]
-                        own.append(name := xxhash.xxh3_128_digest(chunk))
-                        if name not in sent:
-                            sent.add(name)
-                            fresh[name] = chunk
-                        at = stop
-                    rows.append((len(ids), b"".join(own)))
-                a, b = len(rows), len(fresh)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([True] * a + [False] * b),
-                        pa.concat_arrays([part.column(0), pa.nulls(b, pa.int64())]),
-                        pa.array([n for n, _ in rows] + [None] * b, pa.int64()),
-                        pa.array([d for _, d in rows] + [None] * b, pa.binary()),
-                        pa.array([None] * a + list(fresh), pa.binary()),
-                        pa.array([None] * a + list(fresh.values()), pa.binary()),
-                    ],
-                    [x.split()[0] for x in schema.split(", ")],
-                )
+        for part in regrouped(batches, "text"):
+            rows, fresh = [], {}
+            if len(sent) > 500_000:
+                sent.clear()
+            for raw in coder.encode(part.column(1)):
+                ids = np.frombuffer(raw + end, "<u4")
+                small, own, at = ids.astype("<u2").tobytes() if width == 2 else ids.tobytes(), [], 0
+                for stop in cut_points(ids, gear):
+                    chunk = small[at * width : stop * width]
+                    own.append(name := xxhash.xxh3_128_digest(chunk))
+                    if name not in sent:
+                        sent.add(name)
+                        fresh[name] = chunk
+                    at = stop
+                rows.append((len(ids), b"".join(own)))
+            a, b = len(rows), len(fresh)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([True] * a + [False] * b),
+                    pa.concat_arrays([part.column(0), pa.nulls(b, pa.int64())]),
+                    pa.array([n for n, _ in rows] + [None] * b, pa.int64()),
+                    pa.array([d for _, d in rows] + [None] * b, pa.binary()),
+                    pa.array([None] * a + list(fresh), pa.binary()),
+                    pa.array([None] * a + list(fresh.values()), pa.binary()),
+                ],
+                [x.split()[0] for x in schema.split(", ")],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema)
 
@@ -214,13 +206,16 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or fresh_dir(spark, "id-store")
+    mark = tables_written()
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     spool = materialize(_spool(docs, tokenizer, end_id, width), "id-spool", compression="zstd")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = spool.where(~F.col("is_doc")).select("digest", "payload").repartition(parts, "digest").sortWithinPartitions("digest")
     packs = _write_packs(chunks, folder).collect()
     recipes = _write_recipes(spool.where("is_doc").select("doc_id", "n", "digests").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("digests")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digests"), folder).collect()
+    release(spark, mark)
     first_doc = first_id = 0
     listed = []
     for r in sorted(recipes, key=lambda r: r["part"]):
@@ -233,7 +228,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
 
 
 def read_manifest(folder: str) -> dict:
-    fs, root = _fs(folder)
+    fs, root = file_system(folder)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     if _merkle([bytes.fromhex(x["root"]) for x in manifest["packs"] + manifest["recipes"]]).hex() != manifest["root"]:
@@ -256,7 +251,7 @@ def read_chunks(spark: SparkSession, folder: str, payload: bool = True) -> DataF
         import xxhash
         import zstandard
 
-        fs, root = _fs(folder)
+        fs, root = file_system(folder)
         for batch in batches:
             for file, wanted in zip(batch.column("file").to_pylist(), batch.column("root").to_pylist(), strict=True):
                 names = []
@@ -291,7 +286,7 @@ def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
     manifest = read_manifest(folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _fs(folder)
+        fs, root = file_system(folder)
         for batch in batches:
             for file, wanted, row, start in zip(*(batch.column(c).to_pylist() for c in ("file", "root", "first_doc", "first_id")), strict=True):
                 names, rows = [], []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, own_memory, regrouped, settled, slices, small_batches, tables_written
 from .components import components
 
 SHINGLE = 5
@@ -49,7 +49,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -99,10 +99,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        own_memory("shingles")
         words = _Words()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, "text", 500, 4 << 20):
                 nodes, sizes, blobs, vectors = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_hashes(text, words)
@@ -124,17 +124,16 @@ def _distinct_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.take(pa.array(at))
 
 
-def common_shingles(sets: DataFrame, at_least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(sets: DataFrame, at_least: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """The COMMON shingles of the highest counts, sorted by shingle, and their counts. Counted over all documents; within
     a batch of documents those that occur less than at_least times are left out, which a common one doesn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _distinct_rows(batch)
-            if batch.num_rows:
-                values, counts = np.unique(expand(b"".join(batch.column("shingles").to_pylist())), return_counts=True)
-                keep = counts >= at_least
-                yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
+        own_memory("common shingles")
+        for part in regrouped(batches, "shingles", 4000, 8 << 20):
+            values, counts = np.unique(expand(b"".join(_distinct_rows(part).column("shingles").to_pylist())), return_counts=True)
+            keep = counts >= at_least
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(counts[keep].astype(np.int64))], ["shingle", "n"])
 
     counted = sets.select("node", "shingles").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
@@ -170,14 +169,14 @@ def blocks(sets: DataFrame, num: int, den: int, shards: int) -> DataFrame:
     sent = spark.sparkContext.broadcast((common, counts, maybe))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("prefixes")
         common, counts, maybe = sent.value
-        for batch in batches:
-            batch = _distinct_rows(batch)
-            if not batch.num_rows:
+        for part in map(_distinct_rows, regrouped(batches, "shingles", 5000, 16 << 20)):
+            if not part.num_rows:
                 continue
-            own = [prefix(expand(b), common, counts, maybe, num, den) for b in batch.column("shingles").to_pylist()]
+            own = [prefix(expand(b), common, counts, maybe, num, den) for b in part.column("shingles").to_pylist()]
             tokens = np.concatenate(own)
-            nodes = np.repeat(batch.column("node").to_numpy(), [len(x) for x in own])
+            nodes = np.repeat(part.column("node").to_numpy(), [len(x) for x in own])
             shard = (tokens >> np.uint64(20)).astype(np.int64) % shards
             order = np.argsort(shard, kind="stable")
             pairs = np.empty((len(order), 2), np.int64)
@@ -187,6 +186,7 @@ def blocks(sets: DataFrame, num: int, den: int, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array([pairs[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], ["shard", "pairs"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("blocks")
         blobs = [b for batch in batches for b in batch.column("pairs").to_pylist()]
         if not blobs:
             return
@@ -305,12 +305,16 @@ def verified_links(sizes: np.ndarray, vectors: list[bytes], shingles: list[bytes
     """Component of each set (sorted by size) under exact links."""
     tree, forest = CountTree(sizes, vectors, num, den), Forest(len(sizes))
     sets: dict[int, np.ndarray] = {}
+    held = 0
 
     def of(i: int) -> np.ndarray:
+        nonlocal held
         if i not in sets:
-            if len(sets) > 4 * PART:
+            if held > 4 << 20:
                 sets.clear()
+                held = 0
             sets[i] = expand(shingles[i])
+            held += len(sets[i])
         return sets[i]
 
     for i in range(len(sizes) - 1):
@@ -330,6 +334,7 @@ def _grouped(rows: DataFrame, key: str, solve: Callable[[pa.Table], np.ndarray])
     """(a, b) star edges within each group of `key`. Groups stream by in the order of (key, n); one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("groups")
         held: list[pa.RecordBatch] = []
 
         def out(t: pa.Table) -> pa.RecordBatch | None:
@@ -368,6 +373,8 @@ def _grouped(rows: DataFrame, key: str, solve: Callable[[pa.Table], np.ndarray])
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * intersection >= num * union of their shingle sets."""
     spark = docs.sparkSession
+    small_batches(spark)
+    mark = tables_written()
     sets = materialize(shingle_sets(docs), "shingle-sets")
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(blocks(sets, num, den, shards), "jaccard-blocks")
@@ -399,11 +406,13 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     linked = nodes.select("node", "first_doc").join(final, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
     named = linked.join(linked.groupBy("root").agg(F.min("first_doc").alias("component")), "root").select(F.col("node").alias("of"), "component")
     rows = sets.select("doc_id", "n", "node")
-    return rows.join(named, F.col("node") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    named_rows = rows.join(named, F.col("node") == F.col("of"), "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return settled(named_rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "jaccard", mark)
 
 
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, or one of its rows if there are several."""
     found = materialize(near_duplicates(docs, num, den).where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "jaccard-gone")
     few = found.count() <= BROADCAST_NODES
-    return docs.join(F.broadcast(found) if few else found, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(found) if few else found, docs["doc_id"] == found["gone"], "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, materialize
+from .common import ASCII_SPACE, materialize, own_memory, slices, small_batches
 
 _SPACE = ASCII_SPACE.encode()
 #: Filters and exceptions together are broadcast up to this size; beyond it lines are matched by a shuffled join.
@@ -118,12 +118,13 @@ def _counted(docs: DataFrame, min_chars: int, sign: int) -> DataFrame:
     """(key, n): documents that hold each key, summed within a task before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("line counts")
         held: dict[bytes, int] = {}
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([sign * v for v in held.values()], pa.int64())], ["key", "n"])
 
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text", 2000, 8 << 20)):
             for text in batch.column(0).to_pylist():
                 for key in set(line_keys(text, min_chars)[1]):
                     if key is not None:
@@ -142,6 +143,7 @@ class LineStore:
 
     def __init__(self, spark: SparkSession, refs: DataFrame | None = None, filters: DataFrame | None = None, min_docs: int = 10, min_chars: int = 1, shards: int | None = None):
         """shards: of the filters; None: chosen at the first insertion, one for each 200,000 keys over the threshold."""
+        small_batches(spark)
         self.spark, self.min_docs, self.min_chars, self.shards = spark, min_docs, min_chars, shards
         self.refs, self.filters = refs, filters
 
@@ -224,7 +226,7 @@ class LineStore:
         min_chars = self.min_chars
 
         def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (p for b in batches for p in slices(b, "text", 2000, 8 << 20)):
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 own = [list({k for k in line_keys(t, min_chars)[1] if k is not None}) for t in texts]
                 at = np.repeat(np.arange(len(own)), [len(k) for k in own])
@@ -232,7 +234,8 @@ class LineStore:
 
         held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keys, "doc_id long, key binary")
         hits = held.join(self.refs.where(F.col("n") >= self.min_docs).select("key"), "key").groupBy(F.col("doc_id").alias("hit_doc")).agg(F.collect_set("key").alias("hit_keys"))
-        joined = docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_doc")), "left").drop("hit_doc")
+        docs = docs.drop("hit_doc", "hit_keys")
+        joined = docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["hit_doc"]), "left").drop("hit_doc")
         return _rewritten(joined, None, min_chars)
 
 
@@ -288,8 +291,9 @@ def _rewritten(docs: DataFrame, choose, min_chars: int) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in keep] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("line rewriting")
         dropped = choose() if choose else None
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text", 2000, 8 << 20)):
             split = [line_keys(t, min_chars) for t in batch.column("text").to_pylist()]
             if dropped:
                 gone = dropped(list({k for _, keys in split for k in keys if k is not None}))

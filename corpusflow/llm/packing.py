@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WordCoder, materialize, slices
+from .common import WordCoder, materialize, regrouped, small_batches
 
 UNITS = 256
 
@@ -37,16 +37,15 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = WordCoder.of(tokenizer), end_id.to_bytes(4, "little"), 4 * window
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows: list[list] = [[] for _ in names]
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
-                    ids += end
-                    for at in range(0, len(ids), step):
-                        piece = ids[at : at + step]
-                        for column, value in zip(rows, (doc, at >> 2, len(piece) >> 2, zlib.crc32(piece), len(ids) >> 2, piece), strict=False):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(rows, names, strict=True)], names)
+        for part in regrouped(batches, "text"):
+            rows: list[list] = [[] for _ in names]
+            for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
+                ids += end
+                for at in range(0, len(ids), step):
+                    piece = ids[at : at + step]
+                    for column, value in zip(rows, (doc, at >> 2, len(piece) >> 2, zlib.crc32(piece), len(ids) >> 2, piece), strict=False):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(rows, names, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
@@ -164,6 +163,7 @@ def runs(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, rows_per_task: int = 20_000, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids (little-endian unsigned 32-bit)."""
     spark = docs.sparkSession
+    small_batches(spark)
     cut = materialize(pieces(docs, tokenizer, window, end_id, with_ids), "pack-pieces")
     units = F.ceil(F.col("length") * UNITS / window).cast("int")
     counts = {r["units"]: r["n"] for r in cut.groupBy(units.alias("units")).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize
+from .common import materialize, own_memory, settled, slices, small_batches, tables_written
 
 ORDER, BITS = 5, 12
 START, END = 2, 3
@@ -78,6 +78,7 @@ def corpus_grams(rows: DataFrame) -> DataFrame:
         return keys[first], np.add.reduceat(counts, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("grams")
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def out(lang: str) -> pa.RecordBatch:
@@ -85,8 +86,7 @@ def corpus_grams(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "c"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, "text", 500, 2 << 20):
                 own: dict[tuple[str, bool], list[str | None]] = {}
                 for lang, text, trusted in zip(*(part.column(c).to_pylist() for c in ("lang", "text", "trusted")), strict=True):
                     own.setdefault((lang, trusted), []).append(text)
@@ -95,9 +95,9 @@ def corpus_grams(rows: DataFrame) -> DataFrame:
                     keep = keys >= 0
                     mine = held.setdefault(lang, [])
                     mine.append((keys[keep], counts[keep] * trusted))
-                    if sum(len(k) for k, _ in mine[1:]) > 3_000_000:
+                    if sum(len(k) for k, _ in mine[1:]) > 600_000:
                         held[lang] = [merged(mine)]
-                        if len(held[lang][0][0]) > 6_000_000:
+                        if len(held[lang][0][0]) > 1_200_000:
                             yield out(lang)
         for lang in list(held):
             yield out(lang)
@@ -213,10 +213,10 @@ def scores(rows: DataFrame, table: DataFrame, shard_rows: int = 3_000_000) -> Da
 
 def _scorer(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("scores")
         made: dict[str, GramTable] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, "text", 500, 2 << 20):
                 langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
                 n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 for lang in set(langs):
@@ -250,9 +250,11 @@ def language_bounds(scored: DataFrame, low: float = 0.1, width: float = 5.0, mar
 
 def classify(docs: DataFrame, labels: DataFrame, low: float = 0.1, width: float = 5.0, margin: float = 0.4, least_docs: int = 20, least_chars: int = 200, shard_rows: int = 3_000_000) -> DataFrame:
     """doc_id, lang, n_chars, perplexity (a character; null where the language has no model), bound, kept."""
+    small_batches(docs.sparkSession)
+    mark = tables_written()
     rows = trusted_documents(docs, labels)
     table = gram_probabilities(materialize(corpus_grams(rows), "lm-corpus"))
-    scored = materialize(scores(rows, table, shard_rows), "lm-scores")
+    scored = settled(scores(rows, table, shard_rows), "lm-scores", mark)
     # One row a language at most.
     bounds = F.broadcast(language_bounds(scored, low, width, margin, least_docs, least_chars))
     loss = -F.col("logp") / F.col("n_chars")
@@ -265,4 +267,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without those rejected. Rejected ids are broadcast only while they are few."""
     bad = materialize(classify(docs, labels, **options).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("bad")).distinct(), "lm-bad")
     few = bad.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col("bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == bad["bad"], "left_anti")

@@ -28,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir
-from .idstore import _fs
+from .common import file_system, fresh_dir, put_in_place, small_batches
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Repeated payloads up to this number are known to all tasks; more are joined by shuffle.
@@ -130,10 +129,11 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 100
     """Writes every page as a record, a package for each `records` rows of a task; the files are renamed when complete.
     Rows: file, records, bytes (one for each package). The frame is the table of what was written, not a plan."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or fresh_dir(spark, "warc-zip")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, fs_root = TaskContext.get(), _fs(folder)
+        context, fs_root = TaskContext.get(), file_system(folder)
         fs, root = fs_root
         fs.create_dir(root, recursive=True)
         k, package, stream, temporary = 0, None, None, ""
@@ -143,7 +143,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, least: int = 100
             package.close()
             stream.close()
             name = f"{root}/part-{context.partitionId():05d}-{k:04d}.zip"
-            fs.move(temporary, name)
+            put_in_place(fs, temporary, name)
             row = pa.RecordBatch.from_pydict({"file": [f"{folder}/{name.rpartition('/')[2]}"], "records": pa.array([len(package.index)], pa.int64()), "bytes": pa.array([package.at], pa.int64())})
             k, package = k + 1, None
             return row
@@ -229,7 +229,7 @@ def data_offset(read: Reader, member: Member) -> int:
 
 
 def open_package(path: str) -> tuple[Reader, int, object]:
-    fs, p = _fs(path)
+    fs, p = file_system(path)
     file = fs.open_input_file(p)
 
     def read(offset: int, length: int) -> bytes:

@@ -42,7 +42,7 @@ def test_round_trip(spark):
 
 def test_damage_is_found(spark):
     folder = I.write_store(frame(spark, [(i, t, "en", "s", 0) for i, t in documents()[:5]]), tokenizer())
-    fs, root = I._fs(folder)
+    fs, root = I.file_system(folder)
     for name in [x["file"] for x in I.read_manifest(folder)["recipes"]]:
         with fs.open_input_stream(f"{root}/recipes/{name}") as f:
             body = f.read()
