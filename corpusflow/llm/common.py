@@ -135,7 +135,7 @@ class WordCoder:
 
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -208,7 +208,7 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 2500, size: int = 12
         lo = hi
 
 
-def regrouped(batches: Iterator[pa.RecordBatch], column: str, rows: int = 2500, size: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1500, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many rows or bytes of text in a column, whichever comes first."""
     held: list[pa.RecordBatch] = []
     n = long = 0
