@@ -7,11 +7,16 @@ counted; a document with enough of an item's windows (6, which is 13 tokens in a
 to slot consistency: in the matched range, equal values of the item's slots stand for equal values in the document. So a
 question whose numbers, names or units were exchanged is caught, and text that merely has slots in the same places isn't.
 
+What a template takes for a name depends on case, so windows of plain words (bare, in lower case, no slots) are joined
+beside them: a copy in capitals or lower case has its words, whatever its template is. Enough windows of plain words make a
+match without slots to hold to; so do enough windows of either sort, held to consistency. Where templates alone give
+a match, that one is reported.
+
 The benchmark's windows are broadcast after their number is checked, else joined by shuffle; documents are never shuffled
 as texts.
 
 Edge cases: null or empty texts match nothing. Items of fewer than 8 tokens are matched whole. Windows with fewer than 4
-tokens of their own (not slots) are not used. Repeated rows and items with equal texts each give their match. Empty tables
+tokens of their own (not slots; of plain windows, words or numbers) are not used. Repeated rows and items with equal texts each give their match. Empty tables
 give an empty result. Extra columns are ignored.
 """
 
@@ -59,9 +64,19 @@ def _bare(value) -> F.Column:
     return F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]+", ""))
 
 
-def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """item_id, at (place of the window, from 0), width, hash, windows (how many the item has)."""
-    items = benchmark.select("item_id", _template(_flat(F.col("text"))).alias("tokens")).withColumn("width", F.least(F.lit(width), F.size("tokens")))
+def _plain(flat) -> F.Column:
+    """Tokens of `flat`, all bare and in lower case."""
+    return F.split(F.regexp_replace(F.lower(flat), r"[^\p{L}\p{N} ]+", ""), " ")
+
+
+def _plain_codes(flat) -> F.Column:
+    return F.transform(_plain(flat), lambda x: F.xxhash64(x))
+
+
+def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, plain: bool = False) -> DataFrame:
+    """item_id, at (place of the window, from 0), width, hash, windows (how many the item has); of templates or plain words."""
+    flat = _flat(F.col("text"))
+    items = benchmark.select("item_id", (_plain(flat) if plain else _template(flat)).alias("tokens")).withColumn("width", F.least(F.lit(width), F.size("tokens")))
     hashed = F.xxhash64(*[F.xxhash64(F.get("window", k)) for k in range(width)])
     # Nulls don't enter a hash, but the hash of a missing token would.
     for w in range(width - 1, 0, -1):
@@ -74,18 +89,26 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, shift (place in the document less place in the item), n_windows, first, last: before slots are held to."""
-    wanted = materialize(benchmark_windows(benchmark, width), "bench-windows")
+    """doc_id, item_id, shift (place in the document less place in the item), sort (0 by templates, 1 by plain words, 2 by
+    either), n_windows, first, last: before slots are held to."""
+    both = benchmark_windows(benchmark, width).withColumn("plain", F.lit(False)).unionByName(benchmark_windows(benchmark, width, True).withColumn("plain", F.lit(True)))
+    wanted = materialize(both, "bench-windows")
     few = wanted.count() <= BROADCAST_WINDOWS
-    widths = sorted(r[0] for r in wanted.select("width").distinct().collect()) or [width]  # 1 to `width`
+    kinds = sorted(tuple(r) for r in wanted.select("width", "plain").distinct().collect()) or [(width, False)]  # 1 to `width`, twice
     found = None
-    for w in widths:
-        own = wanted.where(F.col("width") == w).select("item_id", "at", "hash", "windows")
-        there = docs.select("doc_id", F.posexplode(_hashes(_codes(_flat(F.col("text"))), w)).alias("place", "hash"))
-        part = there.join(F.broadcast(own) if few else own, "hash").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "windows", F.lit(w).alias("width"))
+    for w, plain in kinds:
+        own = wanted.where((F.col("width") == w) & (F.col("plain") == plain)).select("item_id", "at", "hash", "windows")
+        flat = _flat(F.col("text"))
+        there = docs.select("doc_id", F.posexplode(_hashes(_plain_codes(flat) if plain else _codes(flat), w)).alias("place", "hash"))
+        part = there.join(F.broadcast(own) if few else own, "hash").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "windows", F.lit(w).alias("width"), F.lit(plain).alias("plain"))
         found = part if found is None else found.unionByName(part)
-    grouped = found.groupBy("doc_id", "item_id", "shift").agg(F.size(F.collect_set("at")).alias("n_windows"), F.min("at").alias("first"), (F.max("at") + F.max("width") - 1).alias("last"), F.max("windows").alias("windows"))
-    return grouped.where(F.col("n_windows") >= F.least(F.lit(ENOUGH), F.col("windows"))).drop("windows")
+    of = lambda plain, column: F.when(F.col("plain") == plain, F.col(column))
+    grouped = found.groupBy("doc_id", "item_id", "shift").agg(*[F.collect_set(of(k, "at")).alias(f"at{k:d}") for k in (False, True)], *[F.max(of(k, "windows")).alias(f"windows{k:d}") for k in (False, True)], F.max("width").alias("width"))
+    # An item has a plain window wherever it has one of templates.
+    sets = [(F.col("at0"), F.col("windows0")), (F.col("at1"), F.col("windows1")), (F.array_union("at0", "at1"), F.coalesce("windows1", F.lit(ENOUGH)))]
+    ways = F.array(*[F.struct(F.lit(i).alias("sort"), at.alias("at"), n.alias("windows")) for i, (at, n) in enumerate(sets)])
+    sorts = grouped.select("doc_id", "item_id", "shift", "width", F.explode(ways).alias("way")).where("way.windows is not null").where(F.size("way.at") >= F.least(F.lit(ENOUGH), F.col("way.windows")))
+    return sorts.select("doc_id", "item_id", "shift", "way.sort", F.size("way.at").alias("n_windows"), F.array_min("way.at").alias("first"), (F.array_max("way.at") + F.col("width") - 1).alias("last"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -103,11 +126,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     at = F.sequence(F.col("first"), F.col("last"))
     slots = F.filter(at, lambda i: F.get(F.col("bench_template"), i).startswith("\u0001"))
     pairs = F.transform(slots, lambda i: F.struct(_bare(F.get(F.col("bench_words"), i)).alias("a"), _bare(F.get(F.col("doc_words"), i + F.col("shift").cast("int"))).alias("b")))
-    checked = joined.select("doc_id", "item_id", "shift", "n_windows", (F.col("first") + F.col("shift")).alias("first_word"), pairs.alias("pairs"))
+    checked = joined.select("doc_id", "item_id", "shift", "sort", "n_windows", (F.col("first") + F.col("shift")).alias("first_word"), pairs.alias("pairs"))
     values = F.transform("pairs", lambda p: p["a"])
     consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(values))
-    checked = checked.where(consistent).withColumn("n_slots", F.size("pairs")).withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))))
-    best = F.max_by(F.struct("first_word", "n_windows", "n_slots", "n_changed"), F.struct("n_windows", -F.col("first_word"))).alias("best")
+    checked = checked.where(consistent | (F.col("sort") == 1)).withColumn("n_slots", F.size("pairs")).withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))))
+    best = F.max_by(F.struct("first_word", "n_windows", "n_slots", "n_changed"), F.struct(-F.col("sort"), "n_windows", -F.col("first_word"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("first_word", "n_windows", "n_slots", "n_changed")])
 
 

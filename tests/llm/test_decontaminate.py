@@ -42,6 +42,18 @@ def test_catches_leaks_and_leaves_the_rest(spark, monkeypatch, limit):
     assert {r["doc_id"] for r in left.collect()} == set(docs) - {100, 101, 102, 103, 105} and left.columns == df.columns
 
 
+def test_case_of_a_copy_does_not_matter(spark):
+    rng, words, items, docs = world()
+    names = "The old farmer Jonas Weber asked his neighbour Maria Lund to bring back the cart that Peter Holm had borrowed in May"
+    docs[100] = f"{prose(rng, words, 30)} {items[0][1].upper()} {prose(rng, words, 30)}"
+    docs[101] = f"{prose(rng, words, 30)} {names.lower()}"
+    docs[102] = f"{prose(rng, words, 30)} {names.title()}"
+    docs[103] = " ".join(items[3][1].upper().split()[:10])  # too little of it
+    got = found(spark, docs, [*items, (60, names)])
+    assert set(got) == {(100, 0), (101, 60), (102, 60)}
+    assert all(r["n_changed"] == 0 for r in got.values())
+
+
 def test_equal_items_and_repeated_rows(spark):
     _, _, items, docs = world()
     docs[100] = items[0][1]
