@@ -12,6 +12,11 @@ beside them: a copy in capitals or lower case has its words, whatever its templa
 match without slots to hold to; so do enough windows of either sort, held to consistency. Where templates alone give
 a match, that one is reported.
 
+What an item's first token becomes depends on what stands before it in the document. So where an item begins with a
+capital, its windows from the second token on are enough (and are looked for one token narrower, if it has a single
+window), and its first token is held to as a slot: it must stand in the document, begin with a capital there too or be the
+same word, and stand for one value.
+
 The benchmark's windows are broadcast after their number is checked, else joined by shuffle; documents are never shuffled
 as texts.
 
@@ -73,42 +78,56 @@ def _plain_codes(flat) -> F.Column:
     return F.transform(_plain(flat), lambda x: F.xxhash64(x))
 
 
+def _capital(value) -> F.Column:
+    return value.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+
+
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, plain: bool = False) -> DataFrame:
-    """item_id, at (place of the window, from 0), width, hash, windows (how many the item has); of templates or plain words."""
+    """item_id, at (place of the window, from 0), width, hash, windows (how many the item has), later (how many
+    of them begin after the first token), headed (1: the item begins with a capital); of templates or plain words. A headed item with a single window of templates has one from its second token on
+    as well, of headed -1, which isn't counted."""
     flat = _flat(F.col("text"))
-    items = benchmark.select("item_id", (_plain(flat) if plain else _template(flat)).alias("tokens")).withColumn("width", F.least(F.lit(width), F.size("tokens")))
+    items = benchmark.select("item_id", (_plain(flat) if plain else _template(flat)).alias("tokens"), _capital(flat).cast("int").alias("headed")).withColumn("width", F.least(F.lit(width), F.size("tokens")))
     hashed = F.xxhash64(*[F.xxhash64(F.get("window", k)) for k in range(width)])
     # Nulls don't enter a hash, but the hash of a missing token would.
     for w in range(width - 1, 0, -1):
         hashed = F.when(F.col("width") == w, F.xxhash64(*[F.xxhash64(F.get("window", k)) for k in range(w)])).otherwise(hashed)
-    place = F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))).alias("at")
-    windows = items.select("item_id", "width", "tokens", place).withColumn("window", F.slice("tokens", F.col("at") + 1, F.col("width")))
+    span = F.struct(F.lit(0).alias("from"), (F.size("tokens") - F.col("width")).alias("to"), F.col("width"), F.col("headed"))
+    narrow = F.struct(F.lit(1).alias("from"), F.lit(1).alias("to"), (F.col("width") - 1).alias("width"), F.lit(-1).alias("headed"))
+    single = F.lit(not plain) & (F.col("headed") == 1) & (F.size("tokens") == F.col("width")) & (F.col("width") > 1)
+    spans = items.select("item_id", "tokens", F.explode(F.when(single, F.array(span, narrow)).otherwise(F.array(span))).alias("span"))
+    place = F.explode(F.sequence("span.from", "span.to")).alias("at")
+    windows = spans.select("item_id", "span.width", "span.headed", "tokens", place).withColumn("window", F.slice("tokens", F.col("at") + 1, F.col("width")))
     own = F.size(F.filter("window", lambda x: (x != "") & ~x.startswith("\u0001")))
-    used = windows.where(own >= LEAST_OWN).select("item_id", "at", "width", hashed.alias("hash"))
-    return used.join(used.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows")).withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
+    used = windows.where(own >= LEAST_OWN).select("item_id", "at", "width", "headed", hashed.alias("hash"))
+    counted = used.groupBy("item_id").agg(*[F.sum(((F.col("headed") >= 0) & (F.col("at") >= least)).cast("long")).alias(name) for name, least in (("windows", 0), ("later", 1))])
+    return used.join(counted.withColumnRenamed("item_id", "of"), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, item_id, shift (place in the document less place in the item), sort (0 by templates, 1 by plain words, 2 by
-    either), n_windows, first, last: before slots are held to."""
+    either, 3 by templates from the second token on), n_windows, first, last: before slots are held to."""
     both = benchmark_windows(benchmark, width).withColumn("plain", F.lit(False)).unionByName(benchmark_windows(benchmark, width, True).withColumn("plain", F.lit(True)))
     wanted = materialize(both, "bench-windows")
     few = wanted.count() <= BROADCAST_WINDOWS
     kinds = sorted(tuple(r) for r in wanted.select("width", "plain").distinct().collect()) or [(width, False)]  # 1 to `width`, twice
     found = None
     for w, plain in kinds:
-        own = wanted.where((F.col("width") == w) & (F.col("plain") == plain)).select("item_id", "at", "hash", "windows")
+        own = wanted.where((F.col("width") == w) & (F.col("plain") == plain)).select("item_id", "at", "hash", "windows", "later", "headed")
         flat = _flat(F.col("text"))
         there = docs.select("doc_id", F.posexplode(_hashes(_plain_codes(flat) if plain else _codes(flat), w)).alias("place", "hash"))
-        part = there.join(F.broadcast(own) if few else own, "hash").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "windows", F.lit(w).alias("width"), F.lit(plain).alias("plain"))
+        part = there.join(F.broadcast(own) if few else own, "hash").select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "windows", "later", "headed", F.lit(w).alias("width"), F.lit(plain).alias("plain"))
         found = part if found is None else found.unionByName(part)
-    of = lambda plain, column: F.when(F.col("plain") == plain, F.col(column))
-    grouped = found.groupBy("doc_id", "item_id", "shift").agg(*[F.collect_set(of(k, "at")).alias(f"at{k:d}") for k in (False, True)], *[F.max(of(k, "windows")).alias(f"windows{k:d}") for k in (False, True)], F.max("width").alias("width"))
+    of = lambda plain, column: F.when((F.col("plain") == plain) & (F.col("headed") >= 0), F.col(column))
+    late = F.when(~F.col("plain") & (F.col("headed") != 0) & (F.col("at") > 0), F.col("at"))
+    sets = [F.collect_set(of(k, "at")).alias(f"at{k:d}") for k in (False, True)] + [F.collect_set(late).alias("at_late")]
+    grouped = found.groupBy("doc_id", "item_id", "shift").agg(*sets, *[F.max(of(k, "windows")).alias(f"windows{k:d}") for k in (False, True)], F.max(F.when(late.isNotNull(), F.greatest(F.lit(1), "later"))).alias("windows_late"), F.max("width").alias("width"))
     # An item has a plain window wherever it has one of templates.
-    sets = [(F.col("at0"), F.col("windows0")), (F.col("at1"), F.col("windows1")), (F.array_union("at0", "at1"), F.coalesce("windows1", F.lit(ENOUGH)))]
-    ways = F.array(*[F.struct(F.lit(i).alias("sort"), at.alias("at"), n.alias("windows")) for i, (at, n) in enumerate(sets)])
+    ways = [("at0", "windows0"), ("at1", "windows1"), (F.array_union("at0", "at1"), F.coalesce("windows1", F.lit(ENOUGH))), ("at_late", "windows_late")]
+    ways = F.array(*[F.struct(F.lit(i).alias("sort"), (F.col(at) if isinstance(at, str) else at).alias("at"), (F.col(n) if isinstance(n, str) else n).alias("windows")) for i, (at, n) in enumerate(ways)])
     sorts = grouped.select("doc_id", "item_id", "shift", "width", F.explode(ways).alias("way")).where("way.windows is not null").where(F.size("way.at") >= F.least(F.lit(ENOUGH), F.col("way.windows")))
-    return sorts.select("doc_id", "item_id", "shift", "way.sort", F.size("way.at").alias("n_windows"), F.array_min("way.at").alias("first"), (F.array_max("way.at") + F.col("width") - 1).alias("last"))
+    first = F.when(F.col("way.sort") == 3, 0).otherwise(F.array_min("way.at"))
+    return sorts.select("doc_id", "item_id", "shift", "way.sort", F.size("way.at").alias("n_windows"), first.alias("first"), (F.array_max("way.at") + F.col("width") - 1).alias("last"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -124,9 +143,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     texts = texts.select("hit_doc", F.split(_flat(F.col("hit_text")), " ").alias("doc_words"))
     joined = texts.join(F.broadcast(hits) if n <= BROADCAST_WINDOWS else hits, F.col("hit_doc").eqNullSafe(F.col("doc_id"))).join(items, F.col("item_id").eqNullSafe(F.col("bench_id")))
     at = F.sequence(F.col("first"), F.col("last"))
-    slots = F.filter(at, lambda i: F.get(F.col("bench_template"), i).startswith("\u0001"))
+    slots = F.filter(at, lambda i: F.get(F.col("bench_template"), i).startswith("\u0001") | ((F.col("sort") == 3) & (i == 0)))
     pairs = F.transform(slots, lambda i: F.struct(_bare(F.get(F.col("bench_words"), i)).alias("a"), _bare(F.get(F.col("doc_words"), i + F.col("shift").cast("int"))).alias("b")))
-    checked = joined.select("doc_id", "item_id", "shift", "sort", "n_windows", (F.col("first") + F.col("shift")).alias("first_word"), pairs.alias("pairs"))
+    head = F.get(F.col("doc_words"), F.col("shift").cast("int"))
+    headed = _capital(head) | (_bare(head) == _bare(F.get(F.col("bench_words"), F.lit(0))))
+    checked = joined.where((F.col("sort") != 3) | F.coalesce(headed, F.lit(False))).select("doc_id", "item_id", "shift", "sort", "n_windows", (F.col("first") + F.col("shift")).alias("first_word"), pairs.alias("pairs"))
     values = F.transform("pairs", lambda p: p["a"])
     consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(values))
     checked = checked.where(consistent | (F.col("sort") == 1)).withColumn("n_slots", F.size("pairs")).withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))))

@@ -54,6 +54,23 @@ def test_case_of_a_copy_does_not_matter(spark):
     assert all(r["n_changed"] == 0 for r in got.values())
 
 
+def test_short_items_and_items_of_slots(spark):
+    rng, words, _, docs = world()
+    items = [
+        (1, "What is 12 + 30 kg ?"), (2, "Which River Runs Through The Old City Of Prague Today"), (3, "Anna bakes bread for nine hungry friends every single morning"),
+        (4, "Tom paints small wooden boats in his garage"), (5, "12 13 14"),
+    ]
+    docs[100], docs[101] = f"{prose(rng, words, 30)} {items[0][1]} {prose(rng, words, 30)}", f"{prose(rng, words, 30)} {items[1][1]}"
+    docs[102], docs[103] = f"it says {items[2][1]}", f"it says {items[3][1]}"  # its first word looks like a name here
+    docs[104], docs[105] = f"Indeed. {items[2][1].replace('Anna', 'Berta')}", f"Indeed. {items[3][1].replace('Tom', 'Jim')}"
+    docs[106] = " ".join(items[3][1].split()[1:])  # without its first word
+    docs[107] = f"the uncle {' '.join(items[3][1].split()[1:])}"
+    docs[108] = items[0][1].replace("12", "13")
+    got = found(spark, docs, items)
+    assert set(got) == {(100, 1), (101, 2), (102, 3), (103, 4), (104, 3), (105, 4)}
+    assert got[104, 3]["n_changed"] == got[105, 4]["n_changed"] == 1 and got[104, 3]["first_word"] == 1
+
+
 def test_equal_items_and_repeated_rows(spark):
     _, _, items, docs = world()
     docs[100] = items[0][1]
