@@ -91,6 +91,12 @@ def sentence_count(spark, sf_dir):
     return rows.select("doc_id", text.sentence_count(F.col("text")).cast("int").alias("sentences"))
 
 
+@query()
+def sentence_count_all(spark, sf_dir):
+    # Abbreviations, inner dots and null texts included, which the SQL of sentence_count leaves out.
+    return _read(spark, sf_dir, "documents").select("doc_id", text.sentence_count(F.col("text")).cast("int").alias("sentences"))
+
+
 @query("SELECT page_id, replace(replace(replace(replace(replace(url || '<&\"''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
 def html_escaping(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", text.html_escape(F.concat("url", F.lit("<&\"'>"))).alias("escaped"))

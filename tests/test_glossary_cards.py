@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from corpusflow.functions import replies, text
 from corpusflow.operators import cards as K
 from corpusflow.operators import glossary as G
+from corpusflow.queries import QUERIES
 from pyspark.sql import functions as F
 
 TERMS = [
@@ -70,6 +73,18 @@ def test_sentences(spark):
     assert df.where(text.sentence_count(F.col("t")) != F.col("n")).count() == 0
 
 
+def test_sentences_of_every_document(spark, tmp_path):
+    texts = ["One. Two! Three?", "Use e.g. 3.5 or a.b.c only.", "Pens, ink, etc. cost 2.50. Ask i.e. call vs. write!", "Version 2.0. See www.a.org/x.y now.", "no end", "", None]
+
+    def brute(t):
+        bare = re.sub(r"(?<=\w)\.(?=\w)", "", re.sub(r"\b(e\.g|i\.e|etc|vs)\.", "", t or ""))
+        return max(1, len(re.findall(r"[.!?](?:\s|$)", bare.strip())))
+
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["sentences"] for r in QUERIES["sentence_count_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 def test_gate_and_display(spark):
     scores = spark.createDataFrame([("a", 0, "chess", 5), ("a", 1, "gardening", 2), ("b", 0, "chess", 3), ("c", None, None, None)], "concept_id string, ord long, anchor_id string, score int")
     gate = {r["concept_id"]: r for r in K.illumination_gate(scores).collect()}
