@@ -133,6 +133,10 @@ class WordCoder:
     NORMAL = ["NFC", "Replace", "Lowercase"]
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+    #: A stop after one of these letters (Latin without I with a dot above, Greek, Cyrillic) is a token of its own: no step
+    #: before the model turns the letter into anything but one letter, so nothing joins the stop.
+    STOPPED = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f][.,]$"
+
     _made: dict[str, WordCoder] = {}
 
     def __init__(self, path: str, limit: int = 200_000):
@@ -182,11 +186,11 @@ class WordCoder:
             return [np.array(e.ids, "<u4").tobytes() for e in self.coder.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        # Case doesn't matter to the tokenizer in ASCII, and a full stop or comma after a letter is a token of its own.
+        # Case doesn't matter to the tokenizer in ASCII, and a full stop or comma after most letters is a token of its own.
         words = coded.dictionary
         plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
         words = pc.if_else(plain, pc.ascii_lower(words), words)
-        ends = pc.match_substring_regex(words, r"\pL[.,]$")
+        ends = pc.match_substring_regex(words, self.STOPPED)
         stems = pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
         stops = pc.if_else(ends, pc.utf8_slice_codeunits(words, -1), "").dictionary_encode()
         ids = [pa.array(self._known(x.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary()).take(x.indices) for x in (stems, stops)]

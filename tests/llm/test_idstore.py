@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -100,5 +101,11 @@ def test_word_coder_equals_the_tokenizer():
     cases = ["it's. Don't, ÇA. 'S. <|endoftext|>. A<|startoftext|>b İstanbul. ΑΣ. ΑΣ, x.. 5. ½. é. é.,a ́.", "", None, "\n\n a\t b\xa0c\x1cd . , ..", "K. ﬁ. ǅ. ʰ. à.̀ à", "日本語。テスト. 한글. ก็.", "A" * 300 + ". B\r\nc\x0bd\x0ce f"]
     rng = random.Random(1)
     cases += ["".join(rng.choice("aÉbß.,'! \n\t5é́​ﬀΣς<|>") for _ in range(40)) for _ in range(500)]
+    # Words that end in any letter and a stop, where the steps before the model may make of the letter a letter and a mark.
+    letters = [c for c in map(chr, range(0x30000)) if unicodedata.category(c)[0] in "LM"]
+    cases += [f"{c}{stop}" for c in letters for stop in ".,"] + [f"a{c}.b" for c in letters]
+    small = [c for c in letters if c < "\u3000"]
+    cases += ["".join(rng.choice(small if rng.random() < 0.5 else "aZ.,' ") for _ in range(rng.randint(1, 6))) + rng.choice([".", ",", ""]) for _ in range(100_000)]
+    cases += ["İ,", "KADİ, BEY", "बाढ़, और", "\ufb2a.", "X\u0307. Å."]
     for text, raw in zip(cases, coder.encode(pa.array(cases, pa.string())), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == coder.coder.encode(text or "", add_special_tokens=False).ids, repr(text)
