@@ -95,19 +95,24 @@ c AS (
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
 host AS (
-  SELECT domain, count(*) AS n, count(*) FILTER (n_words < 50) AS short, count(*) FILTER (100 * n_repeat_words > 50 * n_words) AS repeats,
-         count(*) FILTER (10 * n_symbols > word_chars) AS symbols, count(*) FILTER (10 * n_dup_lines > 3 * n_words) AS lines
+  SELECT domain, count(*) AS n, count(*) FILTER (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base,
+         count(*) FILTER (20 * n_symbols > word_chars) AS symbols, count(*) FILTER (word_chars < 3 * n_words OR word_chars > 12 * n_words) AS length,
+         count(*) FILTER (50 * n_dup_lines > n_words) AS lines
   FROM c GROUP BY domain),
-long AS (UNPIVOT host ON short, repeats, symbols, lines INTO NAME rule VALUE k),
+long AS (UNPIVOT host ON base, symbols, length, lines INTO NAME rule VALUE k),
 mom AS (
   SELECT rule, sum(k)::DOUBLE / sum(n) AS m, sum(k::DOUBLE / n) AS s1, sum((k::DOUBLE / n) * (k::DOUBLE / n)) AS s2, sum(1.0::DOUBLE / n) AS inv, count(*) AS h
   FROM long GROUP BY rule),
 spread AS (SELECT rule, m, greatest(0.0, (s2 - 2 * m * s1 + h * m * m) / h - m * (1 - m) * inv / h) AS v FROM mom),
-prior AS (SELECT rule, m, least(1000.0, greatest(1.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0 END)) AS s FROM spread),
-verdict AS (SELECT domain, bool_or((k + m * s) / (n + s) > 0.75) AS bad FROM long JOIN prior USING (rule) GROUP BY domain)
+prior AS (SELECT rule, m, least(1000.0, greatest(10.0, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000.0 END)) AS s FROM spread),
+bound AS (SELECT rule, m, s, least(0.5, m + 1.645 * sqrt(m * (1 - m) / (s + 1))) AS b FROM prior),
+rate AS (SELECT domain, m, b, (k + m * s) / (n + s) AS r, n + s + 1 AS w FROM long JOIN bound USING (rule)),
+verdict AS (
+  SELECT domain, round(max(CASE WHEN m > 0 THEN least(r / b, (r - 1.645 * sqrt(r * (1 - r) / w)) / m) ELSE 0 END), 6) AS host_risk
+  FROM rate GROUP BY domain)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, bad AS host_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT bad AS kept
+       n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, host_risk > 1 AS host_failed, host_risk,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND host_risk <= 1 AS kept
 FROM c JOIN verdict ON c.domain IS NOT DISTINCT FROM verdict.domain
 """
 

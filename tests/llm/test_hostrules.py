@@ -1,6 +1,8 @@
 import re
 
+import pytest
 from corpusflow.llm import hostrules as H
+from pyspark.sql import functions as F
 
 from .fixtures import empty, frame, odd_rows
 
@@ -24,7 +26,7 @@ def test_counts(spark):
 
 
 def test_verdicts(spark):
-    good = " ".join(f"w{i}" for i in range(80))
+    good = " ".join(f"word{i}" for i in range(80))
     rows = [(i, "too short", "en", "bad.example", 0) for i in range(40)] + [(100 + i, good, "en", "good.example", 0) for i in range(400)]
     rows += [(1000 + i, good, "en", "bad.example", 0) for i in range(3)] + [(2000, "x", "en", "new.example", 0), (2001, good, "en", None, 0)]
     got = {r["doc_id"]: r for r in H.host_rules(frame(spark, rows)).collect()}
@@ -34,6 +36,42 @@ def test_verdicts(spark):
     assert got[2000]["base_failed"] and not got[2000]["host_failed"]  # one document says little about its host
 
 
+def model(rows, z=1.645):
+    """Failed hosts, from the formulas, over rows of (host, failed)."""
+    n, k = {}, {}
+    for host, failed in rows:
+        n[host] = n.get(host, 0) + 1
+        k[host] = k.get(host, 0) + failed
+    m, h = sum(k.values()) / sum(n.values()), len(n)
+    spread = max(0.0, sum((k[x] / n[x] - m) ** 2 for x in n) / h - sum(m * (1 - m) / n[x] for x in n) / h)
+    s = min(1000.0, max(10.0, m * (1 - m) / spread - 1 if spread else 1000.0))
+    bound = min(0.5, m + z * (m * (1 - m) / (s + 1)) ** 0.5)
+    rate = {x: (k[x] + m * s) / (n[x] + s) for x in n}
+    return {x for x in n if rate[x] > bound and rate[x] - z * (rate[x] * (1 - rate[x]) / (n[x] + s + 1)) ** 0.5 > m}
+
+
+def test_hosts_of_a_planted_table(spark):
+    """Documents of the driver's tables: dealt by chance no host fails; with the failing ones moved to two hosts, those do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = H.document_counts(docs).collect()
+    bad = {r["doc_id"] for r in counts if r["n_words"] < 50 or 2 * r["n_repeat_words"] > r["n_words"]}
+    assert 20 < len(bad) < 300
+    moved = docs.withColumn("source", F.when(F.col("doc_id").isin(*bad), F.concat(F.lit("bad"), F.pmod("doc_id", F.lit(2)))).when(F.pmod("doc_id", F.lit(29)) == 0, F.lit("bad0")).otherwise(F.col("source")))
+    got = H.host_rules(moved).join(moved.select("doc_id", "source"), "doc_id").collect()
+    assert {r["source"] for r in got if r["host_failed"]} == {"bad0", "bad1"} == model([(r["source"], r["base_failed"]) for r in got])
+    assert sum(r["host_failed"] and not r["base_failed"] for r in got) >= 20  # clean rows of a bad host go, others stay
+    plain = H.host_rules(docs).collect()
+    assert len({r["host_risk"] for r in plain}) > 5 and sum(r["host_failed"] for r in plain) <= 100
+
+
+@pytest.mark.parametrize("limit", [H.BROADCAST_HOSTS, 0])
+def test_shuffled_join_gives_the_same(spark, monkeypatch, limit):
+    monkeypatch.setattr(H, "BROADCAST_HOSTS", limit)
+    rows = [(i, "w " * 60 if i % 9 else " ".join(map(str, range(80))), "en", f"h{i % 5}" if i % 4 else None, 0) for i in range(300)]
+    got = H.host_rules(frame(spark, rows)).collect()
+    assert len(got) == 300 and {r["host_failed"] for r in got} <= {True, False}
+
+
 def test_odd_rows(spark):
     assert H.host_rules(frame(spark, odd_rows())).count() == len(odd_rows())
     assert H.host_rules(empty(spark)).count() == 0
