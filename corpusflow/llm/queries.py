@@ -120,34 +120,49 @@ _OP8_UNITS = "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile mi
 OP8_SQL = rf"""
 WITH src AS (
   SELECT 'd' AS k, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-tok AS (
-  SELECT k, id, unnest(w) AS o, generate_subscripts(w, 1) - 1 AS p
-  FROM (SELECT k, id, string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS w FROM src)),
-lagged AS (SELECT *, lag(o) OVER (PARTITION BY k, id ORDER BY p) AS before FROM tok),
+raw AS (SELECT k, id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), '[^\p{{L}}\p{{N}} ]+', '', 'g'), ' ') AS w FROM src),
+tok AS (SELECT k, id, w AS cased, list_transform(w, lambda x: lower(x)) AS plain FROM raw),
 canon AS (
-  SELECT k, id, p, o,
-    CASE WHEN before IS NOT NULL AND before <> '' AND right(before, 1) NOT IN ('.', '!', '?', ':', '"') AND regexp_matches(o, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') THEN '#n'
-         WHEN regexp_matches(o, '^[^\p{{L}}\p{{N}}]*\p{{N}}') THEN '#d'
-         WHEN list_contains(string_split('{_OP8_UNITS}', '|'), lower(regexp_replace(o, '[^\p{{L}}\p{{N}}]+', '', 'g'))) THEN '#u'
-         ELSE lower(regexp_replace(o, '[^\p{{L}}\p{{N}}]+', '', 'g')) END AS c
-  FROM lagged),
-win AS (
-  SELECT k, id, p, string_agg(c, ' ') OVER f AS g, count(*) OVER f AS n, count(*) FILTER (c <> '' AND c NOT LIKE '#%') OVER f AS own
-  FROM canon WINDOW f AS (PARTITION BY k, id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-bw AS (SELECT id, p, g FROM win WHERE k = 'b' AND n = 8 AND own >= 4),
-bn AS (SELECT id, count(*) AS windows FROM bw GROUP BY id),
-m AS (
-  SELECT d.id AS doc_id, b.id AS item_id, d.p - b.p AS shift, count(DISTINCT b.p) AS n_windows, min(b.p) AS first, max(b.p) + 7 AS last
-  FROM win d JOIN bw b USING (g) WHERE d.k = 'd' AND d.n = 8 GROUP BY ALL),
-hit AS (SELECT m.* FROM m JOIN bn ON bn.id = m.item_id WHERE n_windows >= least(6, windows)),
+  SELECT k, id, plain, list_transform(cased, lambda x:
+    CASE WHEN regexp_matches(x, '^[\p{{Lu}}\p{{Lt}}]') THEN '#n' WHEN regexp_matches(x, '^\p{{N}}') THEN '#d'
+         WHEN list_contains(string_split('{_OP8_UNITS}', '|'), lower(x)) THEN '#u' ELSE lower(x) END) AS template
+  FROM tok),
+item AS (SELECT *, len(plain) AS n, least(8, len(plain)) AS width, len(list_filter(plain, lambda x: x <> '')) AS words FROM canon WHERE k = 'b'),
+iw AS (
+  SELECT id, kind, words, width, pos, g, len(list_filter(g, lambda x: x <> '' AND x NOT LIKE '#%')) >= 4 AS used
+  FROM (
+    SELECT id, 't' AS kind, words, width, pos, template[pos + 1 : pos + width] AS g FROM (SELECT *, unnest(range(0, n - width + 1)) AS pos FROM item WHERE words > 0)
+    UNION ALL
+    SELECT id, 'p', words, width, pos, plain[pos + 1 : pos + width] FROM (SELECT *, unnest(range(0, n - width + 1)) AS pos FROM item WHERE words > 0))),
+cnt AS (SELECT id, kind, count(*) FILTER (used) AS n, count(*) AS every FROM iw GROUP BY ALL),
+bw AS (
+  SELECT iw.id, CASE WHEN kind = 'p' AND words < 3 THEN 'w' ELSE kind END AS kind, width, pos, array_to_string(g, ' ') AS g,
+         CASE WHEN kind = 'p' AND n = 0 THEN every ELSE n END AS windows
+  FROM iw JOIN cnt USING (id, kind) WHERE used OR kind = 'p' AND n = 0),
+dw AS (
+  SELECT id, kind, width, p, array_to_string(CASE WHEN kind = 't' THEN template[p + 1 : p + width] ELSE plain[p + 1 : p + width] END, ' ') AS g
+  FROM (
+    SELECT c.id, c.plain, c.template, u.kind, u.width, unnest(range(0, len(c.plain) - u.width + 1)) AS p
+    FROM canon c CROSS JOIN (SELECT DISTINCT kind, width FROM bw) u WHERE c.k = 'd' AND len(c.plain) >= u.width AND (u.kind <> 'w' OR len(c.plain) = u.width))),
+hit AS (SELECT d.id AS doc_id, b.id AS item_id, d.p - b.pos AS shift, b.kind, b.pos, b.windows, b.width FROM dw d JOIN bw b USING (kind, width, g)),
+ways AS (
+  SELECT doc_id, item_id, shift, s.sort, CASE s.sort WHEN 0 THEN kind = 't' WHEN 1 THEN kind <> 't' ELSE true END AS counts, hit.kind, hit.pos, hit.windows, hit.width
+  FROM hit CROSS JOIN (VALUES (0), (1), (2)) s(sort)),
+found AS (
+  SELECT doc_id, item_id, shift, sort, count(DISTINCT pos) FILTER (counts) AS n_windows, min(pos) FILTER (counts) AS first, max(pos) FILTER (counts) + max(width) - 1 AS last,
+         CASE sort WHEN 0 THEN max(windows) FILTER (kind = 't') WHEN 1 THEN max(windows) FILTER (kind <> 't') ELSE coalesce(max(windows) FILTER (kind <> 't'), 6) END AS windows
+  FROM ways GROUP BY doc_id, item_id, shift, sort),
+enough AS (SELECT f.* FROM found f WHERE windows IS NOT NULL AND n_windows >= least(6, windows)),
 pair AS (
-  SELECT hit.*, lower(regexp_replace(b.o, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS a, lower(regexp_replace(d.o, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS e
-  FROM hit LEFT JOIN canon b ON b.k = 'b' AND b.id = hit.item_id AND b.p BETWEEN hit.first AND hit.last AND b.c LIKE '#%'
-           LEFT JOIN canon d ON d.k = 'd' AND d.id = hit.doc_id AND d.p = b.p + hit.shift),
+  SELECT e.doc_id, e.item_id, e.shift, e.sort, e.n_windows, e.first, i.plain[q + 1] AS a, d.plain[q + 1 + e.shift] AS o
+  FROM (SELECT *, unnest(range(first, last + 1)) AS q FROM enough) e JOIN item i ON i.id = e.item_id JOIN canon d ON d.k = 'd' AND d.id = e.doc_id
+  WHERE i.template[q + 1] LIKE '#%'),
 held AS (
-  SELECT doc_id, item_id, first + shift AS first_word, n_windows, count(a) AS n_slots, count(a) FILTER (a IS DISTINCT FROM e) AS n_changed
-  FROM pair GROUP BY doc_id, item_id, shift, first, n_windows HAVING count(DISTINCT a) = count(DISTINCT CASE WHEN a IS NOT NULL THEN a || chr(1) || coalesce(e, chr(2)) END)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, first_word) AS r FROM held)
+  SELECT e.doc_id, e.item_id, e.sort, e.first + e.shift AS first_word, e.n_windows, count(a) AS n_slots, count(a) FILTER (a IS DISTINCT FROM o) AS n_changed
+  FROM enough e LEFT JOIN pair USING (doc_id, item_id, shift, sort)
+  GROUP BY e.doc_id, e.item_id, e.sort, e.shift, e.first, e.n_windows
+  HAVING e.sort = 1 OR count(DISTINCT a) = count(DISTINCT CASE WHEN a IS NOT NULL THEN a || chr(1) || coalesce(o, chr(2)) END)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY sort, n_windows DESC, first_word) AS r FROM held)
 SELECT doc_id, item_id, first_word::BIGINT AS first_word, n_windows::BIGINT AS n_windows, n_slots::BIGINT AS n_slots, n_changed::BIGINT AS n_changed
 FROM best WHERE r = 1
 """

@@ -58,7 +58,7 @@ def test_short_items_and_items_of_slots(spark):
     rng, words, _, docs = world()
     items = [
         (1, "What is 12 + 30 kg ?"), (2, "Which River Runs Through The Old City Of Prague Today"), (3, "Anna bakes bread for nine hungry friends every single morning"),
-        (4, "Tom paints small wooden boats in his garage"), (5, "12 13 14"),
+        (4, "Tom paints small wooden boats in his garage"), (5, "12 13 14"), (6, "Paris is Big"), (7, "Yes!"), (8, "..."),
     ]
     docs[100], docs[101] = f"{prose(rng, words, 30)} {items[0][1]} {prose(rng, words, 30)}", f"{prose(rng, words, 30)} {items[1][1]}"
     docs[102], docs[103] = f"it says {items[2][1]}", f"it says {items[3][1]}"  # its first word looks like a name here
@@ -66,11 +66,57 @@ def test_short_items_and_items_of_slots(spark):
     docs[106] = " ".join(items[3][1].split()[1:])  # without its first word
     docs[107] = f"the uncle {' '.join(items[3][1].split()[1:])}"
     docs[108] = items[0][1].replace("12", "13")
+    docs[109], docs[110], docs[111], docs[112], docs[113] = "Here paris is big, we say", "yes", "yes it is", "...", "Paris is big"
     got = found(spark, docs, items)
-    assert set(got) == {(100, 1), (101, 2), (102, 3), (103, 4), (104, 3), (105, 4)}
+    assert set(got) == {(100, 1), (101, 2), (102, 3), (103, 4), (104, 3), (105, 4), (109, 6), (110, 7), (113, 6)}
     assert got[104, 3]["n_changed"] == got[105, 4]["n_changed"] == 1 and got[104, 3]["first_word"] == 1
 
 
+def test_recall_of_planted_items_of_every_length(spark):
+    """The one who plants an item knows its slots: no template code is shared."""
+    rng = random.Random(17)
+    words = vocabulary(rng, 900)
+    items, docs, want, missing, i = [], {}, set(), set(), 0
+    for n in range(1, 26):
+        for _ in range(4):
+            sorts = [rng.choice("wwwwwwwwdnu") for _ in range(n)]
+            values = [{"w": rng.choice(words), "d": str(rng.randint(2, 99)), "n": rng.choice(words).capitalize() + "x", "u": rng.choice(["km", "kg", "days"])}[x] for x in sorts]
+            if len({v.lower() for v, x in zip(values, sorts, strict=True) if x != "w"}) < sum(x != "w" for x in sorts):
+                continue  # equal values would have to be exchanged alike
+            if rng.random() < 0.5 and sorts[0] == "w":
+                values[0] = values[0].capitalize()
+            items.append((i, " ".join(values)))
+            before, after = (prose(rng, words, rng.randint(0, 30)) for _ in range(2))
+            if n >= 3:
+                docs[10 * i] = f"{before} {items[-1][1]} {after}"
+                docs[10 * i + 1] = f"{before} ({items[-1][1].lower()}) {after}"
+                docs[10 * i + 2] = f"{before}\n{items[-1][1].upper()}! {after}"
+                want |= {(10 * i + k, i) for k in range(3)}
+            else:
+                docs[10 * i] = f" {items[-1][1]}.\n"
+                want.add((10 * i, i))
+            other = {"w": lambda v: v, "d": lambda v: str(int(v) + 100), "n": lambda v: v + "y", "u": lambda v: {"km": "miles", "kg": "tons", "days": "weeks"}[v]}
+            changed = [other[x](v) for x, v in zip(sorts, values, strict=True)]
+            # Enough words of its own in every window, all of which must match in a short item.
+            own = [x == "w" and v[0].islower() for x, v in zip(sorts, values, strict=True)]
+            if changed != values and n >= 4 and all(sum(own[k : k + 8]) >= 4 for k in range(max(1, n - 7))):
+                docs[10 * i + 3] = f"{before} {' '.join(changed)} {after}"
+                want.add((10 * i + 3, i))
+            if n >= 6:
+                docs[10 * i + 4] = f"{before} {' '.join(values[: n // 3])} {rng.choice(words)} {after}"
+                missing.add((10 * i + 4, i))
+            i += 1
+    got = set(found(spark, docs, items))
+    assert len(want) > 250 and sum(d % 10 == 3 for d, _ in want) > 30 and want <= got
+    assert not got & missing
+    # Whatever else is found has the item's words in a row.
+    bare = lambda t: ["".join(c for c in w.lower() if c.isalnum()) for w in t.split()]
+    texts = dict(items)
+    for d, x in got - want:
+        a, b = bare(docs[d]), bare(texts[x])
+        assert len(b) <= 4 and any(a[k : k + len(b)] == b for k in range(len(a)))
+
+
 def test_equal_items_and_repeated_rows(spark):
     _, _, items, docs = world()
     docs[100] = items[0][1]
