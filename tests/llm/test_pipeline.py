@@ -1,4 +1,5 @@
 import corpus_pipeline as P
+from corpusflow.llm.perplexity import classify
 from corpusflow.llm.queries import ORACLE_SQL, QUERIES
 
 from .fixtures import SCHEMA, odd_rows
@@ -11,7 +12,8 @@ def test_stages(spark, tmp_path):
     docs, labels = corpus(90)
     item = " ".join(docs[0][1].split()[:30])
     docs.append((500, docs[1][1], "en", "s", 0))
-    docs += [(600 + i, f"Shared line of many\nown text number {i}", "en", "s", 0) for i in range(12)]
+    shared = " ".join(docs[2][1].split()[:12])
+    docs += [(600 + i, f"{shared}\n{' '.join(docs[20 + i][1].split()[::-1])}", "en", "s", 0) for i in range(12) if i != 9]
     docs += [(1000 + i if r[0] is not None else None, *r[1:]) for i, r in enumerate(odd_rows())]
     for name, rows, schema in (("documents", docs, SCHEMA), ("labels", labels, LABELS), ("benchmark", [(1, item)], "item_id long, text string")):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
@@ -24,7 +26,10 @@ def test_stages(spark, tmp_path):
         assert now.columns == columns, name
         old, new = ([tuple(r) for r in d.select("doc_id", "text").collect()] for d in (before, now))
         if name == "classify":
-            assert {i for i, _ in old} - {i for i, _ in new} == {i for i in range(90) if i % 10 == 9}
+            gone = {i for i, _ in old} - {i for i, _ in new}
+            judged = classify(before, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("not kept").collect()
+            assert gone == {r["doc_id"] for r in judged} - {None} and {i for i in range(90) if i % 10 == 9} <= gone
+            assert 0 not in gone and sum(i >= 600 and i < 700 for i, _ in new) >= 10
         elif name == "lines":
             assert sorted(new, key=repr) == sorted([x[:2] for x in lines_of(old, 10)], key=repr) and now.where("n_chars <> length(text)").count() == 0
         elif name == "near":
