@@ -12,7 +12,7 @@ A document is rejected when its log-perplexity lies beyond quantiles of its lang
 number of characters, since the mean of a few scatters more): above, of trusted documents that the model wasn't trained
 on, median + `width` * (0.9 quantile - median); below, of those that it was trained on, as their copies are as likely,
 median - `depth` * (median - 0.1 quantile). A class of few documents leans on the same class in all languages, weighing
-as much as `lean` documents, and on all classes, weighing one: deviations from the language's median are pooled. So every
+as much as `lean` documents, and on all classes (at twenty points), weighing one: deviations from the language's median are pooled. So every
 length and language is judged by the same rule.
 
 Text is read as lower-case characters (whole code points) with white space collapsed and digits as 0. 5-grams are told
@@ -39,6 +39,8 @@ ORDER, BITS = 5, 21
 START, END = 2, 3
 #: Parts of the trusted documents: what the model is trained on, and what bounds are taken from.
 OTHER, TRAINED, HELD = 0, 1, 2
+#: Points that stand for the deviations of all documents.
+POINTS = 20
 #: Trusted ids that are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 _NO_LANG = "\u0000"
@@ -313,13 +315,14 @@ def _length(column: str = "n_chars") -> F.Column:
 def _quantiles(held: DataFrame, wanted: DataFrame, lean: float, qs: dict[str, float]) -> DataFrame:
     """lang, length and quantiles of dev for each wanted (lang, length), from counts n of held (lang, length, dev)."""
     pooled = held.groupBy("length", "dev").agg(F.sum("n").alias("n")).withColumn("n", lean * F.col("n") / F.sum("n").over(W.Window.partitionBy("length")))
-    # Of all classes: a row a step of dev, whose number the losses' range bounds.
-    everything = held.groupBy("dev").agg(F.sum("n").alias("n"))
-    whole = everything.agg(F.sum("n").alias("whole"))
-    everything = everything.join(F.broadcast(whole), F.lit(True)).select("dev", (F.col("n") / F.col("whole")).alias("n"))
+    # Of all classes, twenty points of equal weight; the driver sees a row a step of dev, whose number the losses' range bounds.
+    steps = sorted((r["dev"], r["n"]) for r in held.groupBy("dev").agg(F.sum("n").alias("n")).collect())
+    upto = np.cumsum([n for _, n in steps])
+    points = [steps[int(np.searchsorted(upto, (k + 0.5) / POINTS * upto[-1]))][0] for k in range(POINTS)] if steps else []
     rows = held.select("lang", "length", "dev", F.col("n").cast("double").alias("n"))
     rows = rows.unionByName(wanted.join(pooled, "length").select("lang", "length", "dev", "n"))
-    rows = rows.unionByName(wanted.join(F.broadcast(everything), F.lit(True)).select("lang", "length", "dev", "n"))
+    if points:
+        rows = rows.unionByName(wanted.select("lang", "length", F.explode(F.array(*map(F.lit, points))).alias("dev"), F.lit(1 / POINTS).alias("n")))
     rows = rows.groupBy("lang", "length", "dev").agg(F.sum("n").alias("n"))
     own = W.Window.partitionBy("lang", "length")
     ranked = rows.select("lang", "length", "dev", F.sum("n").over(own.orderBy("dev")).alias("upto"), F.sum("n").over(own).alias("all"))

@@ -95,9 +95,11 @@ def test_bounds_equal_brute_force(spark):
     length = {i: int(math.log2(r["n_chars"])) for i, r in got.items()}
 
     def quantile(ids, own, q):
+        ranked = sorted(loss[i] for i in ids)
         weights = Counter()
+        for k in range(20):
+            weights[ranked[math.ceil((k + 0.5) / 20 * len(ids)) - 1]] += 1 / 20
         for i in ids:
-            weights[loss[i]] += 1 / len(ids)
             if length[i] == own:
                 weights[loss[i]] += 1 + 20 / sum(length[j] == own for j in ids)
         upto, total = 0, sum(weights.values())
