@@ -26,7 +26,8 @@ def plan(frontier: DataFrame, manifest: DataFrame, now: Column, mode: str = "inc
     """url, lastmod, reason ('added' or 'due'), priority (from 1). frontier: url, lastmod, ord.
 
     New pages come first in the frontier's order, then those due, longest unchecked first; a full run takes the frontier's
-    order. Numbering a whole plan needs one order of it; with a limit, sorting stops at so many rows.
+    order. Places are counted in bins of that order (a minute of last_checked, or 50,000 of ord), so no task has the whole
+    plan: only the bins' counts are summed in one place. With a limit, sorting stops at so many rows.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -40,7 +41,20 @@ def plan(frontier: DataFrame, manifest: DataFrame, now: Column, mode: str = "inc
     order = [F.col("reason") == "due", last.asc_nulls_first(), F.col("ord")]
     if limit is not None:
         rows = rows.orderBy(*order).limit(limit)
-    return rows.select("url", "lastmod", "reason", F.row_number().over(W.Window.orderBy(*order)).alias("priority"))
+    return numbered(rows.withColumn("_last", last)).select("url", "lastmod", "reason", "priority")
+
+
+def numbered(rows: DataFrame, per_bin: int = 50_000) -> DataFrame:
+    """rows (reason, _last, ord) with priority, the place from 1 in the order of reason, _last (null first), ord."""
+    late = (F.col("reason") == "due").alias("_late")
+    minute = F.coalesce(F.floor(F.unix_seconds(F.col("_last").cast("timestamp")) / 60), F.lit(-(1 << 62))).alias("_minute")
+    span = F.when(F.col("_last").isNull(), F.floor(F.col("ord") / per_bin)).otherwise(F.lit(-1)).cast("long").alias("_span")
+    bins = ["_late", "_minute", "_span"]
+    rows = rows.select("*", late, minute, span)
+    before = W.Window.orderBy(*bins).rowsBetween(W.Window.unboundedPreceding, -1)
+    base = rows.groupBy(*bins).agg(F.count(F.lit(1)).alias("_n")).select(*bins, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(W.Window.partitionBy(*bins).orderBy(F.col("_last").asc_nulls_first(), "ord"))
+    return rows.withColumn("_place", place).join(base, bins).withColumn("priority", (F.col("_base") + F.col("_place")).cast("int")).drop(*bins, "_n", "_base", "_place", "_last")
 
 
 def add_listed(frontier: DataFrame, urls: DataFrame) -> DataFrame:

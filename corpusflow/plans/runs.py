@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import wanted
-from ..operators.chunks import CHUNKERS, chunk, chunk_records
+from ..operators.chunks import CHUNKERS, chunk_records
 from ..operators.html import extract_pages, page_struct
 from ..schemas import STATE
 from ..sources.config import Source
@@ -130,8 +130,7 @@ def prepare(source: Source, store: Store, profile: str, run_id: str, only: Colum
     docs = doc_rows(work, source.name).join(pages.where("extract_error is null").select("url", "markdown"), "url").persist()
     records = None
     if fmt == "chunks":
-        made = chunk(docs.select("doc_id", "markdown"), name, **options)
-        records = chunk_records(docs.drop("markdown"), made).persist()
+        records = chunk_records(docs, name, **options).persist()
         result.chunks = records.count()
     result.written = write_files(document_files(docs, fmt, records), folder).count()
     gone = actions.where("action = 'remove'")

@@ -400,23 +400,20 @@ SELECT left(sha1(doc_id || '|chunk|' || position), 16) AS chunk_id, doc_id::VARC
 )
 def chunk_records(spark, sf_dir):
     docs = _markdown(_read(spark, sf_dir, "documents"))
-    made = chunks.chunk(docs, "heading", max_tokens=128, overlap_tokens=0)
-    return chunks.chunk_records(docs.drop("markdown"), made).select("chunk_id", "doc_id", "title", "text_to_embed", "tokens_est")
+    return chunks.chunk_records(docs, "heading", max_tokens=128, overlap_tokens=0).select("chunk_id", "doc_id", "title", "text_to_embed", "tokens_est")
 
 
 @query()
 def small_to_big(spark, sf_dir):
     docs = _markdown(_read(spark, sf_dir, "documents"))
-    made = chunks.chunk(docs, "parent_child", child_tokens=64, parent_tokens=256)
-    return chunks.with_parent_text(chunks.chunk_records(docs.drop("markdown"), made)).select("chunk_id", "parent_id", "text", "parent_text")
+    return chunks.small_to_big(docs, child_tokens=64, parent_tokens=256).select("chunk_id", "parent_id", "text", "parent_text")
 
 
 @query()
 def page_chunks(spark, sf_dir):
     """The flagship: pages to Markdown to chunks with identifiers."""
-    pages = html.extract_pages(_read(spark, sf_dir, "pages")).withColumn("doc_id", urls.doc_path(F.col("url"))).withColumn("section", urls.section_of(F.col("url"), _SECTIONS))
-    made = chunks.chunk(pages.select("doc_id", "markdown"), "heading")
-    return chunks.chunk_records(pages.select("doc_id", "url", "title", "section", "breadcrumbs", "content_hash"), made)
+    raw = _read(spark, sf_dir, "pages").where("html is not null").withColumns({"doc_id": urls.doc_path(F.col("url")), "section": urls.section_of(F.col("url"), _SECTIONS)})
+    return chunks.chunk_records(html.extract_pages(raw, keep=["doc_id", "section"]), "heading")
 
 
 @query()

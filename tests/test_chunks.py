@@ -84,9 +84,9 @@ def test_heading_chunks(spark):
 
 def test_records_and_parents(spark):
     df = spark.createDataFrame([("d", LONG, "u", "Doc")], "doc_id string, markdown string, url string, title string")
-    made = C.chunk(df, "parent_child", child_tokens=100, parent_tokens=400)
-    records = C.chunk_records(df, made)
+    records = C.chunk_records(df, "parent_child", child_tokens=100, parent_tokens=400)
     small = C.with_parent_text(records).collect()
+    assert sorted(r["parent_text"] + r["chunk_id"] for r in small) == sorted(r["parent_text"] + r["chunk_id"] for r in C.small_to_big(df, child_tokens=100, parent_tokens=400).collect())
     assert len(small) == C.retrieval_rows(records).count() > 2
     assert all(r["text"][:20] in r["parent_text"] for r in small)
     assert len({r["chunk_id"] for r in records.collect()}) == records.count()
@@ -94,6 +94,16 @@ def test_records_and_parents(spark):
     assert r["text_to_embed"].startswith("Doc > Title\n\n") and r["tokens_est"] == -(-len(r["text"]) // 4)
 
 
+def test_metadata_goes_once_through_every_chunker(spark):
+    df = spark.createDataFrame([("d", LONG, "u", "Doc", ["a", "b"]), ("e", "\n\n\nlate", "v", None, None), ("f", None, "w", "x", None)], "doc_id string, markdown string, url string, title string, breadcrumbs array<string>")
+    for name, n in (("none", 2), ("heading", 3), ("fixed", 2), ("parent_child", 4)):
+        records = C.chunk_records(df, name)
+        got = {(r["doc_id"], r["url"], r["title"], tuple(r["breadcrumbs"])) for r in records.collect()}
+        assert got == {("d", "u", "Doc", ("a", "b")), ("e", "v", None, ())} and records.count() >= n
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+
+
 def test_registry(spark):
     C.register_chunker("halves", C.python_chunker(lambda md, **_: [{"text": md[: len(md) // 2]}, {"text": md[len(md) // 2 :]}]))
     df = spark.createDataFrame([("d", "abcd"), ("e", None)], "doc_id string, markdown string")
