@@ -74,7 +74,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, t
             print(line)
     elif a.command == "prepare":
         r = prepare(source, store, a.profile, moment.strftime("%Y%m%dT%H%M%SZ"), F.col("url").rlike(a.only) if a.only else None, a.full)
-        say({"profile": r.profile, "written": r.written, "unchanged": r.skipped, "removed": r.removed, "failed": r.failed, "chunks": r.chunks})
+        say({"profile": r.profile, "written": r.written, "unchanged": r.skipped, "removed": r.removed, "failed": r.n_failed, "failures": r.failed, "chunks": r.chunks})
     elif a.command == "export":
         kind, _, profile = a.what.partition("/")
         if kind != "prepared" or not profile:

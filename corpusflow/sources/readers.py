@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CHUNK, DOC
+from .sinks import file_system
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -30,13 +34,26 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.substring(F.col("path"), F.lit(len(whole) + 2), F.length("path")).alias("target"), F.sha2("content", 256).alias("sha256"))
 
 
+def read_files(targets: DataFrame, folder: str) -> DataFrame:
+    """target, content of files named below a folder that all executors reach, each read where its row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        for batch in batches:
+            for target in batch.column("target").to_pylist():  # one at a time: nothing bounds their size
+                with fs.open_input_stream(f"{root}/{target}") as stream:
+                    yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([stream.read()], pa.binary())], ["target", "content"])
+
+    return targets.select("target").mapInArrow(run, "target string, content binary")
+
+
 def parsed_chunks(parsed: DataFrame, column: str = "parsed", key: str = "doc_id") -> DataFrame:
     """Chunks in a VARIANT {document: {contents: [{chunk_position, chunk_to_retrieve, chunk_to_embed}]}, error_status} of a
     document-parsing function: key, position, text, text_to_embed. Documents with an error give none."""
-    parsed.createOrReplaceTempView("_corpusflow_parsed")
     return parsed.sparkSession.sql(
         f"""SELECT p.`{key}`, try_variant_get(c.value, '$.chunk_position', 'int') AS position, try_variant_get(c.value, '$.chunk_to_retrieve', 'string') AS text,
                    try_variant_get(c.value, '$.chunk_to_embed', 'string') AS text_to_embed
-            FROM _corpusflow_parsed p, LATERAL variant_explode(try_variant_get(p.`{column}`, '$.document.contents', 'variant')) AS c
-            WHERE try_variant_get(p.`{column}`, '$.error_status', 'string') IS NULL"""
+            FROM {{parsed}} p, LATERAL variant_explode(try_variant_get(p.`{column}`, '$.document.contents', 'variant')) AS c
+            WHERE try_variant_get(p.`{column}`, '$.error_status', 'string') IS NULL""",
+        parsed=parsed,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +45,7 @@ def document_files(docs: DataFrame, fmt: str, chunks: DataFrame | None = None) -
     return docs.select("url", "doc_id", path, content.alias("content"))
 
 
-def _file_system(folder: str):
+def file_system(folder: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
@@ -57,7 +57,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         for batch in batches:
             sizes = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -69,7 +69,8 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                     out.write(body)
                 try:
                     fs.move(temporary, where)
-                except OSError:  # a file system that doesn't replace what is there
+                except OSError:
+                    # A file system that doesn't replace what is there. Lost in between, the task runs again and writes it.
                     fs.delete_file(where)
                     fs.move(temporary, where)
                 sizes.append(len(body))
@@ -82,7 +83,7 @@ def delete_files(paths: DataFrame, folder: str) -> DataFrame:
     """Deletes files; those that aren't there count too. path, there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _file_system(folder)
+        fs, root = file_system(folder)
         for batch in batches:
             there = []
             for path in batch.column("path").to_pylist():
@@ -99,3 +100,20 @@ def delete_files(paths: DataFrame, folder: str) -> DataFrame:
 def index_rows(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """What a vector index would be fed: its key, the text to embed, and the columns it carries."""
     return chunks.select(*dict.fromkeys(["chunk_id", "text_to_embed", *columns]))
+
+
+def sync_index(chunks: DataFrame, known: DataFrame, columns: list[str], upsert: Callable[[DataFrame], None], delete: Callable[[DataFrame], None]) -> DataFrame:
+    """A triggered update of an index of any kind: upsert() gets the rows that are new or differ from those known to it,
+    delete() the chunk_id of those gone. known: chunk_id, fingerprint; gives what is known afterwards."""
+    rows = index_rows(chunks, columns)
+    now = rows.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256))
+    before = known.select("chunk_id", F.col("fingerprint").alias("was"))
+    upsert(now.join(before, "chunk_id", "left").where(~F.col("fingerprint").eqNullSafe(F.col("was"))).drop("fingerprint", "was"))
+    delete(known.join(now.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id"))
+    return now.select("chunk_id", "fingerprint")
+
+
+def load_table(rows: DataFrame, name: str, provider: str = "parquet", **options: str) -> DataFrame:
+    """Creates or replaces a named table; options go to its provider (for example one that keeps change data)."""
+    rows.write.format(provider).mode("overwrite").options(**options).saveAsTable(name)
+    return rows.sparkSession.table(name)

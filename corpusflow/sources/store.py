@@ -91,12 +91,12 @@ class Store:
         return self.load(table)
 
     # History tables
-    def append(self, table: str, run_id: str, rows: DataFrame) -> None:
-        """Adds a run's rows; doing it again for the same run replaces them."""
+    def append(self, table: str, run_id: str, rows: DataFrame, more: bool = False) -> None:
+        """Adds a run's rows; doing it again for the same run replaces them, with `more` adds to them."""
         schema = self.spark.createDataFrame([], HISTORY_TABLES[table][0]).schema
         part = HISTORY_TABLES[table][1]
         body = [F.col(f.name).cast(f.dataType) for f in schema if f.name != part]
-        rows.select(*body).write.mode("overwrite").parquet(f"{self.root}/{table}/{part}={run_id}")
+        rows.select(*body).write.mode("append" if more else "overwrite").parquet(f"{self.root}/{table}/{part}={run_id}")
 
     def history(self, table: str) -> DataFrame:
         schema, part = HISTORY_TABLES[table]

@@ -3,7 +3,7 @@
 import gzip
 import json
 
-from corpusflow.sources.http import Response
+from corpusflow.sources.http import Reply
 
 PAGE = """<html><head><title>{title} | Site</title><meta property="og:title" content="{title}"><script src="{bundle}"></script></head><body><nav>menu</nav>
 <main><article><nav class="theme-doc-breadcrumbs"><ul><li></li><li>Guides</li></ul></nav><div class="theme-last-updated"><time datetime="{updated}T00:00:00Z">u</time></div>
@@ -49,18 +49,18 @@ class Transport:
             f.write(url + "\n")
         ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
         if url.endswith("/robots.txt"):
-            return Response(200, b"User-agent: *\nDisallow: /private/", {}, url)
+            return Reply(200, b"User-agent: *\nDisallow: /private/", {}, url)
         if url.endswith("/sitemap_index.xml"):
-            return Response(200, f"<sitemapindex {ns}><sitemap><loc>https://s.test/sitemap.xml.gz</loc></sitemap></sitemapindex>".encode(), {}, url)
+            return Reply(200, f"<sitemapindex {ns}><sitemap><loc>https://s.test/sitemap.xml.gz</loc></sitemap></sitemapindex>".encode(), {}, url)
         if url.endswith("/sitemap.xml.gz"):
             urls = "".join(f"<url><loc>{u}</loc><lastmod>{s['lastmod'].get(u, '')}</lastmod></url>" for u in sorted(s["pages"]))
-            return Response(200, gzip.compress(f"<urlset {ns}>{urls}</urlset>".encode()), {}, url)
+            return Reply(200, gzip.compress(f"<urlset {ns}>{urls}</urlset>".encode()), {}, url)
         if url in s["broken"]:
             raise OSError("connection reset")
         if url in s["gone"] or url not in s["pages"]:
-            return Response(404, b"", {}, url)
+            return Reply(404, b"", {}, url)
         body = s["pages"][url]
         etag = f'"{hash(body) if False else len(body)}-{sum(body.encode())}"'
         if s["etags"] and headers.get("If-None-Match") == etag:
-            return Response(304, b"", {"etag": etag}, url)
-        return Response(200, body.encode(), {"etag": etag} if s["etags"] else {}, url)
+            return Reply(304, b"", {"etag": etag}, url)
+        return Reply(200, body.encode(), {"etag": etag} if s["etags"] else {}, url)

@@ -180,3 +180,57 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(run("prepare", "--profile", "chunks"))["written"] == 2
     assert json.loads(run("export", "--what", "prepared/chunks", "--to", f"file://{tmp_path}/out"))["copied"] == 2
     assert run("render-list", "--limit", "1").strip() == "https://s.test/guides/a"
+
+
+def test_what_a_lost_run_has_committed_stays(bench, monkeypatch):
+    from corpusflow.plans import runs
+
+    bench.site.set(pages={f"https://s.test/guides/p{i}": page(f"P{i}") for i in range(7)})
+    real, calls = runs._commit, []
+
+    def commit(*args, **options):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("the driver is lost")
+        real(*args, **options)
+
+    monkeypatch.setattr(runs, "_commit", commit)
+    with pytest.raises(OSError, match="lost"):
+        bench.sync(commit_every=3)
+    assert bench.store.load("manifest").count() == 6 and bench.store.history("raw").count() == 6 and bench.store.history("events").count() == 6
+    bench.site.requests()
+    monkeypatch.undo()
+    again = bench.sync(commit_every=3, mode="new-only")
+    assert again.counts == {"added": 1} and len(bench.site.requests()) == 1
+    assert bench.sync(commit_every=2).counts == {"unchanged": 7}
+
+
+def test_index_tables_and_public_names(spark, bench, tmp_path):
+    import corpusflow
+    from corpusflow.operators import glossary
+    from corpusflow.sources.readers import read_files
+    from corpusflow.sources.sinks import load_table, sync_index
+
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id string, text_to_embed string, url string")
+    known, sent, gone = spark.createDataFrame([], "chunk_id string, fingerprint string"), [], []
+    for now in (rows(("a", "x", "u"), ("b", "y", None)), rows(("a", "x", "u"), ("b", "z", None), ("c", "w", "v"))):
+        known = sync_index(now, known, ["url"], lambda df: sent.append({r["chunk_id"] for r in df.collect()}), lambda df: gone.append({r["chunk_id"] for r in df.collect()}))
+    sync_index(rows(("b", "z", None)), known, ["url"], lambda df: sent.append({r["chunk_id"] for r in df.collect()}), lambda df: gone.append({r["chunk_id"] for r in df.collect()}))
+    assert sent == [{"a", "b"}, {"b", "c"}, set()] and gone == [set(), set(), {"a", "c"}]
+
+    name = "corpusflow_loaded"
+    for n in (2, 3):
+        assert load_table(spark.range(n), name, path=str(tmp_path / 't')).count() == n
+    spark.sql(f"drop table {name}")
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "f.bin").write_bytes(b"\0x")
+    assert [tuple(r) for r in read_files(spark.createDataFrame([("f.bin",)], "target string"), str(tmp_path / "files")).collect()] == [("f.bin", b"\0x")]
+
+    terms = glossary.glossary_frame(spark, [{"id": "b", "term": "B", "plain": "p"}, {"id": "a", "term": "A", "aliases": ["x"]}])
+    records = glossary.to_records(terms)
+    assert [r["id"] for r in records] == ["b", "a"] and records[1]["aliases"] == ["x"] and "ord" not in records[0]
+    assert glossary.get(terms, "a")["term"] == "A" and glossary.get(terms, "z") is None
+    assert all(getattr(corpusflow, n) is not None for n in corpusflow.__all__)
+    with pytest.raises(AttributeError):
+        corpusflow.nothing

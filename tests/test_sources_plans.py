@@ -4,7 +4,7 @@ import pytest
 from corpusflow.functions import text, times, urls
 from corpusflow.plans import detect, planner, tables
 from corpusflow.sources import http, readers, sitemap
-from corpusflow.sources.config import load_source, source_from_dict
+from corpusflow.sources.config import load_source, profile, source_from_dict
 from corpusflow.sources.store import Store
 from pyspark.sql import functions as F
 
@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 def test_config(tmp_path):
     (tmp_path / "s.yaml").write_text("name: a.b-1\nfetch: {workers: 5}\nprepare: {profiles: {p: {format: json}}}\n")
     s = load_source(tmp_path / "s.yaml")
-    assert (s.fetch.workers, s.fetch.delay_seconds, s.detect.recheck_after_hours, s.profile("p")) == (5, 0.5, 24.0, {"format": "json"})
-    for bad in ({"name": "a b"}, {"name": "a", "colour": 1}, {}):
+    assert (s.fetch.workers, s.fetch.delay_seconds, s.detect.recheck_after_hours, profile(s, "p")) == (5, 0.5, 24.0, {"format": "json"})
+    with pytest.raises(AttributeError):
+        s.fetch.workers = 9
+    for bad in ({"name": "a b"}, {"name": "a", "colour": 1}, {}, {"name": "a", "fetch": {"speed": 1}}, {"name": "a", "urls": "u"}, {"name": "a", "include": ["("]}, {"name": "a", "fetch": {"workers": "two"}}):
         with pytest.raises((ValueError, TypeError)):
             source_from_dict(bad)
 
 
-def client(answers, **options):
+def asker(answers, **options):
     slept, asked = [], []
 
     def transport(url, headers, timeout):
@@ -26,38 +28,42 @@ def client(answers, **options):
         a = answers.pop(0)
         if isinstance(a, Exception):
             raise a
-        return http.Response(*a)
+        return http.Reply(*a)
 
-    c = http.Client("me", 0, transport=transport, sleep=slept.append, **options)
-    return c, slept, asked
+    return http.Politeness("me", 0, transport=transport, sleep=slept.append, **options).asker(), slept, asked
 
 
 def test_retries():
-    c, slept, asked = client([OSError("x"), (429, b"", {"retry-after": "0"}), (503, b"", {"retry-after": "7"}), (200, b"ok", {})])
-    assert c.get("u", etag="e", last_modified="m").body == b"ok" and slept == [1.0, 0.0, 7.0]
-    assert asked[0]["If-None-Match"] == "e" and asked[0]["If-Modified-Since"] == "m"
-    c, *_ = client([(500,)] * 4)
-    assert c.get("u").status == 500
-    c, *_ = client([OSError("x")] * 4)
+    ask, slept, asked = asker([OSError("x"), (429, b"", {"retry-after": "0"}), (503, b"", {"retry-after": "7"}), (200, b"ok", {})])
+    assert ask("u", http.conditions("e", "m")).body == b"ok" and slept == [1.0, 0.0, 7.0]
+    assert asked[0]["If-None-Match"] == "e" and asked[0]["If-Modified-Since"] == "m" and http.conditions(None, "") == {}
+    ask, slept, _ = asker([(500,)] * 4)
+    assert ask("u").status == 500 and slept == [1.0, 2.0, 4.0]
+    ask, *_ = asker([OSError("x")] * 4)
     with pytest.raises(http.FetchError):
-        c.get("u")
-    c, *_ = client([(404,)])
+        ask("u")
+    ask, *_ = asker([(404,)])
     with pytest.raises(http.FetchError, match="404"):
-        c.get_bytes("u")
+        http.body_of(ask, "u")
+    assert http.pauses(8)[-3:] == [60.0, 60.0, None] and http.pauses(0) == [None]
 
 
-def test_retry_after():
-    assert http.retry_after(None) is None and http.retry_after("soon") is None and http.retry_after("-3") == 0
-    assert http.retry_after("Thu, 01 Jan 1970 00:01:40 GMT", lambda: 40.0) == 60
+def test_asked_wait():
+    wait = lambda value, *now: http.asked_wait({"retry-after": value}, *now)
+    assert http.asked_wait({}) is None and wait("soon") is None and wait("-3") == 0
+    assert wait("Thu, 01 Jan 1970 00:01:40 GMT", lambda: 40.0) == 60
 
 
 def test_limiter_and_robots():
     now, slept = [0.0], []
-    limit = http.Limiter(2, lambda: now[0], slept.append)
-    limit.wait(), limit.wait(), limit.wait()
+    turn = http.paced(2, lambda: now[0], slept.append)
+    turn(), turn(), turn()
     assert slept == [2, 4]
-    c, *_ = client([(200, b"User-agent: *\nDisallow: /p/", {}), (404,)])
-    assert c.allowed("https://h/x", "https://h") and not c.allowed("https://h/p/x", "https://h") and c.allowed("https://i/p/", "https://i")
+    ask, _, asked = asker([(200, b"User-agent: *\nDisallow: /p/", {}), (404,), *[OSError("x")] * 4])
+    robots = http.Robots("me", ask)
+    robots.learn(["https://h"]), robots.learn(["https://i", "https://h"]), robots.learn(["https://j"])
+    assert robots.allow("https://h", "https://h/x") and not robots.allow("https://h", "https://h/p/x") and robots.allow("https://i", "https://i/p/") and robots.allow("https://j", "https://j/")
+    assert len(asked) == 6
 
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
