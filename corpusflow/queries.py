@@ -85,15 +85,12 @@ def text_stats(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", text.word_count(text.normalize_text(F.col("text"))).alias("words"), text.estimate_tokens(F.col("text")).alias("tokens_est"))
 
 
-@query(r"SELECT doc_id, greatest(1, len(regexp_extract_all(trim(text), '[.!?](?:\s|$)')))::INT AS sentences FROM documents WHERE NOT regexp_matches(text, '\b(e\.g|i\.e|etc|vs)\.') AND NOT regexp_matches(text, '[\p{L}\p{N}_]\.[\p{L}\p{N}_]')")
+@query(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(text, '\b(e\.g|i\.e|etc|vs)\.', '', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])\.([\p{L}\p{N}_])', '\1\2', 'g'), '([\p{L}\p{N}_])\.([\p{L}\p{N}_])', '\1\2', 'g') AS t FROM a)
+SELECT doc_id, greatest(1, len(regexp_extract_all(trim(t, ' ' || chr(10) || chr(9)), '[.!?](?:\s|$)')))::INT AS sentences FROM b"""
+)
 def sentence_count(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"\b(e\.g|i\.e|etc|vs)\.") & ~F.col("text").rlike(r"[\p{L}\p{N}_]\.[\p{L}\p{N}_]"))
-    return rows.select("doc_id", text.sentence_count(F.col("text")).cast("int").alias("sentences"))
-
-
-@query()
-def sentence_count_all(spark, sf_dir):
-    # Abbreviations, inner dots and null texts included, which the SQL of sentence_count leaves out.
     return _read(spark, sf_dir, "documents").select("doc_id", text.sentence_count(F.col("text")).cast("int").alias("sentences"))
 
 
@@ -326,7 +323,21 @@ def html_titles(spark, sf_dir):
     return html.extract_pages(_read(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "title", "h1", "selector")
 
 
-@query()
+#: The driver's pages: an article of a heading and paragraphs, some of them bold and left open.
+_MD = r"""art AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages WHERE html IS NOT NULL),
+para AS (SELECT page_id, unnest(string_split(a, '<p>')[2:]) AS raw, generate_subscripts(string_split(a, '<p>')[2:], 1) AS i FROM art),
+txt AS (SELECT page_id, i, starts_with(raw, '<b>') AS bold, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM para),
+mdp AS (SELECT page_id, i, CASE WHEN bold THEN '**' || t || '**' ELSE t END AS t FROM txt WHERE t <> ''),
+head AS (SELECT page_id, url, html, a, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS h1,
+         trim(regexp_replace(replace(replace(replace(replace(regexp_replace(a, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS flat FROM art)"""
+
+
+@query(
+    "WITH "
+    + _MD
+    + r""" SELECT page_id, url, '# ' || h1 || chr(10) || chr(10) || (SELECT string_agg(t, chr(10) || chr(10) ORDER BY i) FROM mdp WHERE mdp.page_id = head.page_id) || chr(10) AS markdown,
+ sha256(flat) AS content_hash, len(string_split(flat, ' '))::INT AS word_count, NULL::VARCHAR AS extract_error FROM head"""
+)
 def html_markdown(spark, sf_dir):
     return html.extract_pages(_read(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "url", "markdown", "content_hash", "word_count", "extract_error")
 
@@ -367,7 +378,27 @@ def chunk_fixed(spark, sf_dir):
     return chunks.chunk(_paragraphs(_read(spark, sf_dir, "documents")), "fixed", max_tokens=128, overlap_tokens=0).select("doc_id", "text", "position")
 
 
-@query()
+_OVERLAPPED = """rec AS (
+  SELECT doc_id, i, [para] AS now, n AS chars, 0 AS c, NULL::VARCHAR AS flushed FROM p WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN flush THEN list_append(kept, para) ELSE list_append(now, para) END,
+         CASE WHEN flush THEN coalesce(list_sum(list_transform(kept, lambda x: length(x) + 2)), 0) + n ELSE chars + 2 + n END,
+         CASE WHEN flush THEN c + 1 ELSE c END, CASE WHEN flush THEN array_to_string(now, chr(10) || chr(10)) END
+  FROM (
+    SELECT *, now[len(now) - len(list_filter(range(1, len(now) + 1), lambda k: list_sum(list_transform(now[len(now) - k + 1:], lambda x: ceil(length(x) / 4.0))) <= OVERLAP)) + 1:] AS kept
+    FROM (SELECT rec.doc_id, p.i, now, chars, c, p.para, p.n, ceil((rec.chars + 2 + p.n) / 4.0) > MOST AS flush FROM rec JOIN p ON p.doc_id = rec.doc_id AND p.i = rec.i + 1))),
+packed AS (
+  SELECT doc_id, flushed AS text, c - 1 AS position FROM rec WHERE flushed IS NOT NULL
+  UNION ALL
+  SELECT doc_id, array_to_string(arg_max(now, i), chr(10) || chr(10)), max(c) FROM rec GROUP BY doc_id)"""
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+p AS (SELECT doc_id, trim(raw) AS para, length(trim(raw)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE trim(raw) <> ''),"""
+    + _OVERLAPPED.replace("OVERLAP", "48").replace("MOST", "128")
+    + " SELECT doc_id, text, position::INT AS position FROM packed"
+)
 def chunk_fixed_overlap(spark, sf_dir):
     return chunks.chunk(_paragraphs(_read(spark, sf_dir, "documents")), "fixed", max_tokens=128, overlap_tokens=48).select("doc_id", "text", "position")
 
@@ -387,7 +418,27 @@ def chunk_heading(spark, sf_dir):
     return chunks.chunk(_markdown(_read(spark, sf_dir, "documents")), "heading", max_tokens=128, overlap_tokens=0).select("doc_id", "text", "heading_path", "position")
 
 
-@query()
+_PARENTS = (
+    _SECTIONED
+    + _PACK.replace("> 128", "> 256")
+    + """, j AS (SELECT rec.doc_id, rec.sec, rec.c, p.para, p.n, row_number() OVER (PARTITION BY rec.doc_id, rec.sec, rec.c ORDER BY rec.i) AS i FROM rec JOIN p USING (doc_id, sec, i)),
+small AS (
+  SELECT doc_id, sec, c, i, n AS chars, 0 AS k FROM j WHERE i = 1
+  UNION ALL
+  SELECT j.doc_id, j.sec, j.c, j.i, CASE WHEN ceil((small.chars + 2 + j.n) / 4.0) > 64 THEN j.n ELSE small.chars + 2 + j.n END, CASE WHEN ceil((small.chars + 2 + j.n) / 4.0) > 64 THEN small.k + 1 ELSE small.k END
+  FROM small JOIN j ON j.doc_id = small.doc_id AND j.sec = small.sec AND j.c = small.c AND j.i = small.i + 1),
+child AS (SELECT doc_id, sec, c, k, string_agg(para, chr(10) || chr(10) ORDER BY i) AS text FROM small JOIN j USING (doc_id, sec, c, i) GROUP BY ALL),
+parent AS (SELECT doc_id, sec, c, packed.text AS text, lang, row_number() OVER (PARTITION BY doc_id ORDER BY sec, c) - 1 AS position FROM packed JOIN documents d USING (doc_id)),
+size AS (SELECT doc_id, sec, c, count(*) + 1 AS n FROM child GROUP BY ALL),
+placed AS (SELECT parent.*, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM parent JOIN size USING (doc_id, sec, c))"""
+)
+
+
+@query(
+    _PARENTS
+    + """ SELECT doc_id, text, [lang, 'Part ' || (sec * 3)] AS heading_path, position::INT AS position, 'parent' AS role, NULL::INT AS parent_position FROM placed
+UNION ALL SELECT doc_id, child.text, [lang, 'Part ' || (sec * 3)], (earlier + 1 + k)::INT, 'child', position::INT FROM child JOIN placed USING (doc_id, sec, c)"""
+)
 def chunk_parent_child(spark, sf_dir):
     return chunks.chunk(_markdown(_read(spark, sf_dir, "documents")), "parent_child", child_tokens=64, parent_tokens=256)
 
@@ -403,20 +454,38 @@ def chunk_records(spark, sf_dir):
     return chunks.chunk_records(docs, "heading", max_tokens=128, overlap_tokens=0).select("chunk_id", "doc_id", "title", "text_to_embed", "tokens_est")
 
 
-@query()
+@query(
+    _PARENTS
+    + """ SELECT left(sha1(doc_id || '|child|' || (earlier + 1 + k)), 16) AS chunk_id, left(sha1(doc_id || '|parent|' || position), 16) AS parent_id, child.text AS text, placed.text AS parent_text FROM child JOIN placed USING (doc_id, sec, c)"""
+)
 def small_to_big(spark, sf_dir):
     docs = _markdown(_read(spark, sf_dir, "documents"))
     return chunks.small_to_big(docs, child_tokens=64, parent_tokens=256).select("chunk_id", "parent_id", "text", "parent_text")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + _MD
+    + """, q AS (SELECT page_id AS doc_id, t AS para, length(t) AS n, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i FROM mdp), """
+    + _OVERLAPPED.replace("OVERLAP", "64").replace("MOST", "512").replace("FROM p ", "FROM q ").replace("JOIN p ON p.doc_id = rec.doc_id AND p.i = rec.i + 1", "JOIN q p ON p.doc_id = rec.doc_id AND p.i = rec.i + 1")
+    + r""", named AS (
+  SELECT page_id, h1, flat, url, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, DOC_ID AS id FROM head),
+s(prefix, label) AS (VALUES ('/', 'other'), ('/en/', 'english'), ('/en/4', 'english-4'), ('/fr/', 'french'), ('/fr/1', 'french-1')),
+sec AS (SELECT page_id, arg_max(label, length(prefix)) AS section FROM pages LEFT JOIN s ON starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), prefix) GROUP BY page_id)
+SELECT left(sha1(id || '|chunk|' || position), 16) AS chunk_id, id AS doc_id, url, title, section, []::VARCHAR[] AS breadcrumbs, [h1] AS heading_path, position::INT AS position, 'chunk' AS role, NULL::VARCHAR AS parent_id, text,
+       title || ' > ' || h1 || chr(10) || chr(10) || text AS text_to_embed, ceil(length(text) / 4.0)::INT AS tokens_est, NULL::INT AS version, sha256(flat) AS content_hash, NULL::VARCHAR AS page_last_updated
+FROM packed JOIN named ON named.page_id = packed.doc_id JOIN sec USING (page_id)""".replace("DOC_ID", _DOC_ID)
+)
 def page_chunks(spark, sf_dir):
     """The flagship: pages to Markdown to chunks with identifiers."""
     raw = _read(spark, sf_dir, "pages").where("html is not null").withColumns({"doc_id": urls.doc_path(F.col("url")), "section": urls.section_of(F.col("url"), _SECTIONS)})
     return chunks.chunk_records(html.extract_pages(raw, keep=["doc_id", "section"]), "heading")
 
 
-@query()
+@query(
+    """SELECT 'u/' || doc_id AS url, doc_id::VARCHAR AS doc_id, 'docs/' || doc_id || '.md' AS path,
+ '---' || chr(10) || 'doc_id: ' || chr(39) || doc_id || chr(39) || chr(10) || 'source: s' || chr(10) || 'title: ' || coalesce(lang, 'null') || chr(10) || 'url: u/' || doc_id || chr(10) || '---' || chr(10) || chr(10) || text AS content FROM documents"""
+)
 def document_files(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select(F.lit("s").alias("source"), F.concat(F.lit("u/"), F.col("doc_id").cast("string")).alias("url"), F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("title"), F.col("text").alias("markdown"))
     return sinks.document_files(docs, "markdown")
@@ -442,12 +511,27 @@ def terms_used(spark, sf_dir):
     return glossary.mention_rows(_read(spark, sf_dir, "documents"), terms, "doc_id").select("doc_id", "term_id").distinct()
 
 
-@query()
+_FIRST = r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?is)^(|.*?[^\p{L}\p{N}_-])(the|le|der)(?:[^\p{L}\p{N}_-]|$)', ['before', 'hit']) AS x FROM documents)"""
+
+
+@query(_FIRST + " SELECT doc_id, length(x.before)::INT AS start, (length(x.before) + length(x.hit))::INT AS \"end\", 'the-word' AS term_id FROM m WHERE x.hit <> ''")
 def term_first_mentions(spark, sf_dir):
     return glossary.mention_rows(_read(spark, sf_dir, "documents"), glossary.glossary_frame(spark, _TERMS[:1]), "doc_id")
 
 
-@query()
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&#x27;')"
+
+
+@query(
+    _FIRST
+    + " SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN x.hit = '' THEN "
+    + _ESCAPED.format("text")
+    + " ELSE "
+    + _ESCAPED.format("x.before")
+    + """ || '<dfn class="cg-term" data-term="the-word" title="A word. It stands before others.">' || x.hit || '</dfn>' || """
+    + _ESCAPED.format("substr(text, length(x.before) + length(x.hit) + 1)")
+    + " END AS html FROM m"
+)
 def annotated_html(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return docs.select("doc_id", glossary.annotate_html(glossary.glossary_frame(spark, _TERMS[:1]))(F.col("text")).alias("html"))
