@@ -9,6 +9,7 @@ import json
 import os
 import shutil
 import tempfile
+import threading
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: str | None = None
-_written: list[str] = []
+_lists = threading.local()
 
 #: The six ASCII white-space characters that separate words and are stripped from lines.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -40,9 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local}"
 
 
+def _written() -> list[str]:
+    """Tables written by this thread, so that queries of other threads keep theirs."""
+    if not hasattr(_lists, "tables"):
+        _lists.tables = []
+    return _lists.tables
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/corpusflow/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written().append(path)
     return path
 
 
@@ -55,16 +63,17 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
 
 def tables_written() -> int:
     """A mark for release()."""
-    return len(_written)
+    return len(_written())
 
 
 def release(spark: SparkSession, since: int = 0, but: int = 0) -> None:
     """Deletes the tables written since a mark, without the last `but`. Frames that read them are unusable afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in _written[since : len(_written) - but]:
+    written = _written()
+    for name in written[since : len(written) - but]:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-        _written.remove(name)
+        written.remove(name)
 
 
 def settled(df: DataFrame, tag: str, since: int) -> DataFrame:

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, let, materialize
+from .common import ASCII_SPACE, let, materialize, settled, tables_written
 
 WINDOW, LEAST_OWN, ENOUGH = 8, 4, 6
 TEMPLATE, PLAIN, WHOLE = 0, 1, 2
@@ -156,6 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataF
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """A row for each document and item that it contains: doc_id, item_id, first_word (of the match, from 0), n_windows,
     n_slots (of the item, in the matched range), n_changed (those with another value in the document)."""
+    mark = tables_written()
     hits = materialize(matches(docs, benchmark, width), "bench-hits")
     n = hits.count()
     items = benchmark.select(F.col("item_id").alias("bench_id"), F.split(_flat(F.col("text")), " ").alias("bench_words"), _template(_cased(_flat(F.col("text")))).alias("bench_template")).dropDuplicates(["bench_id"])
@@ -173,7 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     consistent = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(values))
     checked = checked.where(consistent | (F.col("sort") == 1)).withColumn("n_slots", F.size("pairs")).withColumn("n_changed", F.size(F.filter("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))))
     best = F.max_by(F.struct("first_word", "n_windows", "n_slots", "n_changed"), F.struct(-F.col("sort"), "n_windows", -F.col("first_word"))).alias("best")
-    return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("first_word", "n_windows", "n_slots", "n_changed")])
+    found = checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("first_word", "n_windows", "n_slots", "n_changed")])
+    return settled(found, "bench-found", mark)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

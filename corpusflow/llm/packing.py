@@ -6,8 +6,8 @@ counts that best reproduce the histogram are the solution of a non-negative leas
 active-set method), rounded down; what remains is packed greedily, largest first, again as patterns with repeat counts.
 The plan depends on the histogram alone, so the driver holds at most 256 counts and a few hundred patterns at any scale.
 
-Pieces get their place from their rank among the pieces of equal length, counted in bins of a hash of doc_id, so that one
-very common length doesn't meet in one task.
+Pieces get their place from their rank among the pieces of equal length, counted in bins of a hash of doc_id and ids, so
+that neither one very common length nor many null ids meet in one task.
 
 Edge cases: a null or empty text is the end id alone. Repeated rows are packed each. Null doc_ids are packed like others.
 An empty table gives an empty result. Extra columns are ignored.
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, r
     total = sum(counts.values())
     # Ranks by length: a bin holds about rows_per_task rows however common one length is.
     bins = max(1, -(-total // rows_per_task))
-    marked = cut.withColumn("units", units).withColumn("mixed", F.xxhash64("doc_id", "start")).withColumn("bin", F.pmod("mixed", F.lit(bins)).cast("int"))
+    marked = cut.withColumn("units", units).withColumn("mixed", F.xxhash64("doc_id", "start", "ids_crc32")).withColumn("bin", F.pmod("mixed", F.lit(bins)).cast("int"))
     before = W.Window.partitionBy("units").orderBy("bin").rowsBetween(W.Window.unboundedPreceding, -1)
     base = marked.groupBy("units", "bin").count().select("units", "bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(W.Window.partitionBy("units", "bin").orderBy("mixed", "doc_id", "start")) - 1

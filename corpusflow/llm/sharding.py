@@ -101,7 +101,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.01) -> tuple[li
 def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.01, rows_per_task: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, law 'bytes', shard, slot (gapless from 0 in each shard), grown_shard (null).
 
-    Inside a shard rows come in the order of a hash of doc_id, counted in bins of about rows_per_task rows, so that
+    Inside a shard rows come in the order of a hash of doc_id and text, counted in bins of about rows_per_task rows, so that
     neither a large shard nor a large group of copies meets in one task.
     """
     rows = materialize(keyed(docs), "shard-keys")
@@ -111,7 +111,7 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.01, rows_per_t
         below = F.col("key") < F.lit(key) if tie == _LOW else (F.col("key") < F.lit(key)) | ((F.col("key") == F.lit(key)) & (F.col("tie") < F.lit(tie)))
         place = place + F.when(below, 0).otherwise(1)
     bins = max(1, -(-n // (shards * rows_per_task)))
-    placed = rows.withColumn("shard", place.cast("int")).withColumn("mixed", F.xxhash64("doc_id", F.lit(7))).withColumn("bin", F.pmod("mixed", F.lit(bins)).cast("int"))
+    placed = rows.withColumn("shard", place.cast("int")).withColumn("mixed", F.xxhash64("doc_id", "text_crc32")).withColumn("bin", F.pmod("mixed", F.lit(bins)).cast("int"))
     before = W.Window.partitionBy("shard").orderBy("bin").rowsBetween(W.Window.unboundedPreceding, -1)
     base = placed.groupBy("shard", "bin").count().select("shard", "bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(W.Window.partitionBy("shard", "bin").orderBy("mixed", "tie"))
