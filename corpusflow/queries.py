@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import schemas
 from .functions import replies, text, times, urls
 from .operators import cards, chunks, glossary, html
 from .plans import detect, planner, tables
@@ -178,36 +179,70 @@ def sync_plan_full_limit(spark, sf_dir):
     return planner.plan(_frontier(pages), _manifest(pages), F.lit("2024-01-11 00:00:00").cast("timestamp"), mode="full", only="^https", limit=25)
 
 
-def _snapshots(docs: DataFrame) -> DataFrame:
-    """Documents as they are now, beside what was known of them before."""
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages that were fetched in every state that there is, beside what was known of them before."""
+    docs = _read(spark, sf_dir, "documents")
     k, had = F.col("doc_id"), F.col("doc_id") % 6 != 0
+    url = F.concat(F.lit("https://h.test/d/"), k.cast("string"))
+    blocked, lost = k % 29 == 0, k % 31 == 0
+    status = F.when(blocked | lost, F.lit(None)).when(k % 13 == 0, 404).when(k % 17 == 0, 500).when(k % 19 == 0, 304).otherwise(200).cast("int")
     now = F.when(k % 10 == 0, F.concat("text", F.lit(" edited"))).when(k % 10 == 1, F.concat("text", F.lit(" \n"))).otherwise(F.col("text"))
-    status = F.when(k % 13 == 0, 404).when(k % 17 == 0, 500).when(k % 19 == 0, 304).otherwise(200)
-    return docs.select(
-        "doc_id", status.alias("status"), now.alias("now"), F.when(had, F.when(k % 23 == 0, "removed").otherwise("active")).alias("was_status"),
-        F.when(had, text.content_hash(F.col("text"))).alias("was_hash"), F.when(had, text.bytes_hash(F.col("text"))).alias("was_raw"), F.when(had, (k % 4 + 1).cast("int")).alias("was_version"),
+    null = F.lit(None).cast("string")
+    ok = status == 200
+    filled = {"url": url, "content_hash": text.content_hash(now), "title": F.col("lang")}
+    page = F.struct(*[(filled.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in schemas.struct_of(schemas.PAGE)])
+    responses = docs.select(
+        url.alias("url"), status.alias("status"), F.when(ok, F.encode(now, "utf-8")).alias("body"), F.lit("e").alias("etag"), null.alias("last_modified"), null.alias("final_url"), (~blocked).alias("allowed"), F.when(lost, "reset").alias("error"),
+        (lost & (k % 2 == 0)).alias("unexpected"), F.when(k % 3 == 0, "2024-02-01").alias("lastmod"), F.when(ok, page).alias("page"), null.alias("extract_error"),
     )
+    before = {
+        "url": url, "doc_id": urls.doc_path(url), "status": F.when(k % 23 == 0, "removed").otherwise("active"), "content_hash": text.content_hash(F.col("text")), "raw_hash": text.bytes_hash(F.encode("text", "utf-8")), "version": k % 4 + 1, "title": F.lit("old"),
+        "first_seen": F.lit("2024-01-01 00:00:00"),
+    }
+    empty = spark.createDataFrame([], schemas.MANIFEST)
+    manifest = docs.where(had).select(*[before.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
+    return detect.detect(responses, manifest, "r1", F.lit("2024-03-01 12:00:00").cast("timestamp"), {"/d/1": "ones"})
+
+
+_DETECTED = r"""WITH s AS (
+  SELECT doc_id AS k, 'https://h.test/d/' || doc_id AS url, doc_id % 29 = 0 AS blocked, doc_id % 31 = 0 AS lost, lang,
+         CASE WHEN doc_id % 29 = 0 OR doc_id % 31 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 404 WHEN doc_id % 17 = 0 THEN 500 WHEN doc_id % 19 = 0 THEN 304 ELSE 200 END AS code,
+         CASE WHEN doc_id % 10 = 0 THEN text || ' edited' WHEN doc_id % 10 = 1 THEN text || ' ' || chr(10) ELSE text END AS now, text,
+         doc_id % 6 <> 0 AS had, doc_id % 6 <> 0 AND doc_id % 23 = 0 AS gone FROM documents),
+h AS (SELECT *, NOT had OR gone AS is_new, sha256(trim(regexp_replace(now, '\s+', ' ', 'g'))) AS hash, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS old, now = text AS raw_same FROM s),
+e AS (SELECT *, CASE WHEN blocked THEN 'blocked' WHEN lost THEN 'error' WHEN code = 304 AND NOT is_new THEN 'unchanged' WHEN code = 404 THEN 'removed' WHEN code <> 200 THEN 'error'
+                     WHEN NOT is_new AND hash = old AND NOT raw_same THEN 'touched' WHEN NOT is_new AND hash = old THEN 'unchanged' WHEN is_new THEN 'added' ELSE 'updated' END AS event FROM h),
+v AS (SELECT *, event IN ('added', 'updated') AS is_version, event = 'removed' AND gone AS is_repeat, (CASE WHEN event IN ('added', 'updated') THEN CASE WHEN had THEN k % 4 + 1 ELSE 0 END + 1 WHEN had THEN k % 4 + 1 END)::INT AS number FROM e),
+d AS (SELECT *, CASE WHEN is_version THEN 'raw/h.test/d/' || k || '/v000' || number || '_20240301T120000Z_' || left(hash, 8) || '.html' END AS raw FROM v)
+"""
 
 
 @query(
-    r"""WITH s AS (
-  SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 404 WHEN doc_id % 17 = 0 THEN 500 WHEN doc_id % 19 = 0 THEN 304 ELSE 200 END AS status,
-         CASE WHEN doc_id % 10 = 0 THEN text || ' edited' WHEN doc_id % 10 = 1 THEN text || ' ' || chr(10) ELSE text END AS now, text,
-         doc_id % 6 <> 0 AS had, doc_id % 23 = 0 AS gone FROM documents),
-h AS (SELECT *, NOT had OR gone AS is_new, sha256(trim(regexp_replace(now, '\s+', ' ', 'g'))) = sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS same, now = text AS raw_same FROM s),
-e AS (SELECT *, CASE WHEN status = 304 AND NOT is_new THEN 'unchanged' WHEN status = 404 THEN 'removed' WHEN status <> 200 THEN 'error'
-                     WHEN NOT is_new AND same AND NOT raw_same THEN 'touched' WHEN NOT is_new AND same THEN 'unchanged' WHEN is_new THEN 'added' ELSE 'updated' END AS event FROM h)
-SELECT doc_id, event, (CASE WHEN event IN ('added', 'updated') THEN CASE WHEN had THEN doc_id % 4 + 1 ELSE 0 END + 1 WHEN had THEN doc_id % 4 + 1 END)::INT AS version,
-       CASE WHEN had THEN sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) END AS prev_content_hash FROM e"""
+    _DETECTED
+    + """SELECT url, event, CASE WHEN code IN (304, 404) AND event IN ('unchanged', 'removed') THEN code::VARCHAR END AS via, number AS version, CASE WHEN had THEN old END AS prev_content_hash, is_version, is_repeat,
+ CASE WHEN event = 'error' AND lost AND k % 2 = 0 AND had THEN CASE WHEN gone THEN 'removed' ELSE 'active' END WHEN event IN ('blocked', 'removed', 'error') THEN event ELSE 'active' END AS status,
+ code::INT AS http_status, CASE WHEN is_version THEN hash WHEN had THEN old END AS content_hash, CASE WHEN event = 'error' THEN CASE WHEN lost THEN 'reset' ELSE 'HTTP ' || code END END AS error, raw AS raw_path,
+ CASE WHEN is_version THEN '2024-03-01' END AS changed, CASE WHEN event = 'removed' THEN '2024-03-01' END AS removed, CASE WHEN had THEN '2024-01-01' ELSE '2024-03-01' END AS seen,
+ CASE WHEN k::VARCHAR LIKE '1%' THEN 'ones' END AS section, CASE WHEN event IN ('added', 'updated', 'touched') OR event = 'unchanged' AND code = 200 THEN lang WHEN had THEN 'old' END AS title,
+ CASE WHEN k % 3 = 0 THEN '2024-02-01' END AS sitemap_lastmod FROM d"""
+)
+def change_records(spark, sf_dir):
+    """All that detection says of a page: its event and the record that follows."""
+    day = lambda c, name: F.date_format(c, "yyyy-MM-dd").alias(name)
+    return _detected(spark, sf_dir).select(
+        "url", "event", "via", "version", "prev_content_hash", "is_version", "is_repeat", "status", "http_status", "content_hash", "error", "raw_path",
+        day("last_changed", "changed"), day("removed_at", "removed"), day("first_seen", "seen"), F.nullif("section", F.lit("")).alias("section"), "title", "sitemap_lastmod",
+    )
+
+
+@query(
+    _DETECTED
+    + """SELECT 'r1' AS run_id, url, 'h.test/d/' || k AS doc_id, event, CASE WHEN code = 404 AND event = 'removed' THEN '404' END AS via, CASE WHEN event IN ('added', 'updated', 'touched') THEN number END AS version,
+ CASE WHEN is_version THEN hash WHEN event = 'touched' THEN old END AS content_hash, CASE WHEN is_version AND had THEN old END AS prev_content_hash, raw AS raw_path, CASE WHEN event = 'error' THEN CASE WHEN lost THEN 'reset' ELSE 'HTTP ' || code END END AS error
+ FROM d WHERE event <> 'unchanged' AND NOT is_repeat"""
 )
 def change_events(spark, sf_dir):
-    rows = _snapshots(_read(spark, sf_dir, "documents"))
-    none = F.lit(None).cast("string")
-    was = {"status": F.col("was_status"), "content_hash": F.col("was_hash"), "raw_hash": F.col("was_raw"), "page_last_updated": none}
-    event = detect.classify(F.col("status"), text.content_hash(F.col("now")), text.bytes_hash(F.col("now")), none, F.lit(True), none, was)
-    rows = rows.withColumn("event", event)
-    version = F.when(F.col("event").isin("added", "updated"), F.coalesce("was_version", F.lit(0)) + 1).otherwise(F.col("was_version"))
-    return rows.select("doc_id", "event", version.cast("int").alias("version"), F.col("was_hash").alias("prev_content_hash"))
+    return detect.events_of(_detected(spark, sf_dir)).select("run_id", "url", "doc_id", "event", "via", "version", "content_hash", "prev_content_hash", "raw_path", "error")
 
 
 @query("SELECT strftime(ts, '%Y%m%d') AS run_id, event_type AS event, count(*)::BIGINT AS n FROM events GROUP BY ALL")
@@ -224,12 +259,6 @@ def events_since(spark, sf_dir):
     return tables.events_since(_as_events(_read(spark, sf_dir, "events")), "20240115", ["click", "view"])
 
 
-@query("SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events")
-def prev_value(spark, sf_dir):
-    w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return _read(spark, sf_dir, "events").select("event_id", F.lag("value").over(w).alias("prev_value"))
-
-
 @query(_DERIVED + "SELECT status, count(*)::BIGINT AS n FROM manifest GROUP BY status")
 def status_counts(spark, sf_dir):
     return tables.status_counts(_manifest(_read(spark, sf_dir, "pages")))
@@ -491,6 +520,52 @@ def document_files(spark, sf_dir):
     return sinks.document_files(docs, "markdown")
 
 
+# ---------------------------------------------------------------- hand-made pages
+_SHAPES = [
+    ("inline", "<p>a <b> x </b><i>y</i><code>k  k</code> <a href='../c'>go</a><a href='#z'>in</a><img src=1></p>", "a **x***y*`k  k` [go](https://x.test/c)in\n"),
+    ("list", "<ol><li>one<ul><li>in<li>too</ul><li>two</ol>", "1. one\n\n    - in\n    - too\n2. two\n"),
+    ("table", "<table><tr><th>a<th>b<tr><td>x|y</table>", "| a | b |\n| --- | --- |\n| x\\|y |  |\n"),
+    ("code", '<pre class="language-sql"><code><span class="token-line">select 1</span>\n<span class="token-line">from t</span></code></pre>', "```sql\nselect 1\nfrom t\n```\n"),
+    ("note", '<div class="theme-admonition theme-admonition-tip"><div>T</div><div class="admonitionContent_x"><p>Mind.</p><p>More</p></div></div>', "> **Tip:** Mind.\n>\n> More\n"),
+    ("quote", "<blockquote><p>q</p><p>r</p></blockquote><hr>end<nav>cut</nav>", "> q\n>\n> r\n\n---\n\nend\n"),
+    ("heads", "<h1>A<a class='hash-link' href='#a'>#</a></h1><h3>B &amp; C</h3><p></p>tail", "# A\n\n### B & C\n\ntail\n"),
+    ("open", "<table><tbody><tr><td><p>a<td>b<tr><td>c</table><p>x<p>y<div>z", "| a | b |\n| --- | --- |\n| c |  |\n\nx\n\ny\n\nz\n"),
+    ("deep", "<span>" * 3000 + "x" + "</span>" * 3000, "x\n"),
+]
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(name)}, {_sql_text(md)})" for name, _, md in _SHAPES) + ") v(name, markdown)")
+def html_shapes(spark, sf_dir):
+    """Lists, tables, code, notes, quotes and unclosed elements, which the driver's pages don't have."""
+    pages = spark.createDataFrame([(name, "https://x.test/a/b", f"<body><main>{h}</main></body>") for name, h, _ in _SHAPES], "name string, url string, html string")
+    return html.extract_pages(pages, keep=["name"]).select("name", "markdown")
+
+
+_META_PAGE = """<html lang=en><head><title>X | Site</title><meta property="og:title" content="Real"><link rel="canonical" href="https://s/a"><meta name="description" content="D"></head><body><nav>menu</nav>
+<article><nav class="theme-doc-breadcrumbs"><ul><li></li><li>Guides</li><li>A</li></ul></nav><div class="theme-last-updated"><time datetime="2026-01-02T10:00:00Z">x</time></div>
+<div class="theme-doc-markdown"><h1>Heading</h1><p>Body of three.</p><h2>Part<a class="hash-link" href="#p">#</a></h2><form>no</form></div></article></body></html>"""
+
+
+@query(
+    """SELECT * FROM (VALUES ('page', 'Real', 'https://s/a', 'D', '2026-01-02', ['Guides', 'A'], 'Heading', ['Part'], 'div.theme-doc-markdown', 5, sha256('HeadingBody of three.Part')),
+ ('bare', NULL, NULL, NULL, NULL, [], NULL, [], NULL, 1, sha256('x'))) v(name, title, canonical, description, last_updated, breadcrumbs, h1, headings, selector, word_count, content_hash)""".replace("5, sha256('HeadingBody of three.Part')", "3, sha256('HeadingBody of three.Part')")
+)
+def html_metadata(spark, sf_dir):
+    pages = spark.createDataFrame([("page", "https://s/a", _META_PAGE), ("bare", "u", "<p>x")], "name string, url string, html string")
+    return html.extract_pages(pages, keep=["name"]).select("name", "title", "canonical", "description", "last_updated", "breadcrumbs", "h1", "headings", "selector", "word_count", "content_hash")
+
+
+@query("SELECT * FROM (VALUES (0, 'para', NULL, 'Intro'), (1, 'heading', 1, 'T'), (2, 'para', NULL, '```sql' || chr(10) || '# no' || chr(10) || chr(10) || 'x' || chr(10) || '```'), (3, 'heading', 6, 'six'), (4, 'para', NULL, '#no' || chr(10) || 'tail')) v(pos, kind, level, text)")
+def chunk_blocks(spark, sf_dir):
+    """Blocks with a fence that holds blank lines and what looks like a heading."""
+    docs = spark.createDataFrame([(1, "Intro\n# T\n\n```sql\n# no\n\nx\n```\n###### six\n#no\ntail\n")], "doc_id int, markdown string")
+    return chunks.blocks(docs).select("pos", "kind", "level", "text")
+
+
 # ---------------------------------------------------------------- glossary
 _TERMS = [
     {"id": "the-word", "term": "the", "plain": "A word. It stands before others.", "say_it": "Take the word.", "general": True, "aliases": ["le", "der"]},
@@ -508,7 +583,8 @@ SELECT DISTINCT doc_id, term_id FROM w JOIN f ON word = form"""
 )
 def terms_used(spark, sf_dir):
     terms = glossary.glossary_frame(spark, [_TERMS[0], {"id": "tion", "term": "tion"}, {"id": "con", "term": "con"}])
-    return glossary.mention_rows(_read(spark, sf_dir, "documents"), terms, "doc_id").select("doc_id", "term_id").distinct()
+    found = glossary.mentions(terms, first_only=False)(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.explode(glossary.used_terms(found)).alias("term_id"))
 
 
 _FIRST = r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, '(?is)^(|.*?[^\p{L}\p{N}_-])(the|le|der)(?:[^\p{L}\p{N}_-]|$)', ['before', 'hit']) AS x FROM documents)"""
