@@ -148,7 +148,7 @@ class WordCoder:
 
     _made: dict[str, WordCoder] = {}
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

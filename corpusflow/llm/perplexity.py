@@ -114,9 +114,9 @@ def corpus_grams(rows: DataFrame) -> DataFrame:
                     key, at, n = np.unique(keys(high, low), return_index=True, return_counts=True)
                     mine = held.setdefault(lang, [])
                     mine.append([key, high[at], low[at], n, n * trained])
-                    if sum(len(x[0]) for x in mine[1:]) > 600_000:
+                    if sum(len(x[0]) for x in mine[1:]) > 300_000:
                         held[lang] = [merged(mine)]
-                        if len(held[lang][0][0]) > 1_000_000:
+                        if len(held[lang][0][0]) > 600_000:
                             yield out(lang)
         for lang in list(held):
             yield out(lang)
