@@ -162,11 +162,12 @@ class WordCoder:
         self.letters = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
 
     @classmethod
-    def of(cls, path: str) -> WordCoder:
-        """One for each file and Python worker, so that tasks of a worker share it."""
+    def of(cls, path: str, limit: int = 120_000) -> WordCoder:
+        """One for each file and Python worker, so that tasks of a worker share it. limit: words that it remembers."""
         own_memory("words")
         if path not in cls._made:
             cls._made[path] = cls(path)
+        cls._made[path].limit = limit
         return cls._made[path]
 
     def _new(self, word: str) -> bytes:

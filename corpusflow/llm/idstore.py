@@ -103,7 +103,7 @@ def _spool(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFram
     schema = "is_doc boolean, doc_id long, n long, digests binary, digest binary, payload binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, gear, end = WordCoder.of(tokenizer), _gear(), end_id.to_bytes(4, "little")
+        coder, gear, end = WordCoder.of(tokenizer, 200_000), _gear(), end_id.to_bytes(4, "little")
         sent: set[bytes] = set()
         for part in regrouped(batches, "text"):
             rows, fresh = [], {}
