@@ -95,6 +95,11 @@ def own_memory(owner: str) -> None:
     _owner = owner
     WordCoder._made.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, own_memory, regrouped, settled, slices, small_batches, tables_written
+from .common import materialize, own_memory, regrouped, settled, slices, small_batches, tables_written, trim
 from .components import components
 
 SHINGLE = 5
@@ -173,7 +173,8 @@ def blocks(sets: DataFrame, num: int, den: int, shards: int) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memory("prefixes")
         common, counts, maybe = sent.value
-        for part in map(_distinct_rows, regrouped(batches, "shingles", 5000, 16 << 20)):
+        for part in map(_distinct_rows, regrouped(batches, "shingles", 2500, 8 << 20)):
+            trim()
             if not part.num_rows:
                 continue
             own = [prefix(expand(b), common, counts, maybe, num, den) for b in part.column("shingles").to_pylist()]

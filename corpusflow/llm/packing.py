@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import WordCoder, materialize, regrouped, small_batches
+from .common import WordCoder, materialize, regrouped, small_batches, trim
 
 UNITS = 256
 
@@ -36,8 +36,9 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, step = WordCoder.of(tokenizer), end_id.to_bytes(4, "little"), 4 * window
-        for part in regrouped(batches, "text"):
+        coder, end, step = WordCoder.of(tokenizer, 60_000), end_id.to_bytes(4, "little"), 4 * window
+        for part in regrouped(batches, "text", 800, 3 << 20):
+            trim()
             rows: list[list] = [[] for _ in names]
             for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
                 ids += end
