@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize, own_memory, settled, slices, small_batches, tables_written
+from .common import materialize, own_memory, settled, slices, small_batches, tables_written, trim
 
 ORDER, BITS = 5, 21
 START, END = 2, 3
@@ -242,12 +242,17 @@ def scores(rows: DataFrame, table: DataFrame, head_rows: int = 3_000_000) -> Dat
     spark = rows.sparkSession
     head, tail = common_grams(table, head_rows)
     at_driver = head.select("lang", "high", "low", F.col("logp").cast("float").alias("logp")).toArrow()
-    lang = at_driver.column("lang").to_numpy(zero_copy_only=False)
+    # Languages as numbers: a million strings would be the largest part of all this.
+    coded = at_driver.column("lang").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     key, value = keys(at_driver.column("high").to_numpy(), at_driver.column("low").to_numpy()), at_driver.column("logp").to_numpy()
-    languages = [r[0] for r in table.select("lang").distinct().collect()]
-    models = {name: (key[lang == name], value[lang == name]) for name in languages}
-    del at_driver, lang, key, value
+    models = {r[0]: (np.zeros(0, np.uint64), np.zeros(0, np.float32)) for r in table.select("lang").distinct().collect()}
+    models |= {name: (key[lang == i], value[lang == i]) for i, name in enumerate(names)}
+    del at_driver, coded, lang, key, value
     sent = spark.sparkContext.broadcast(models)
+    del models
+    trim()
     names = ["doc_id", "lang", "fold", "print"]
     done = rows.withColumn("print", F.xxhash64("text")).select(*names, "text").mapInArrow(_scorer(sent), "doc_id long, lang string, fold int, print long, n_chars long, logp double, highs array<long>, lows array<long>")
     if tail is None:
