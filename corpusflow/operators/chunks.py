@@ -186,13 +186,14 @@ def chunk(docs: DataFrame, name: str, key: str = "doc_id", text: str = "markdown
 META = {"url": "string", "title": "string", "section": "string", "breadcrumbs": "array<string>", "version": "int", "content_hash": "string", "page_last_updated": "string"}
 
 
-def chunk_records(docs: DataFrame, name: str, key: str = "doc_id", text: str = "markdown", title_prefix: bool = True, more: Sequence[str] = (), **options) -> DataFrame:
+def chunk_records(docs: DataFrame, name: str, key: str = "doc_id", text: str = "markdown", title_prefix: bool = True, more: Sequence[str] = (), named_by: str | None = None, **options) -> DataFrame:
     """Rows of schemas.CHUNK: documents cut by a chunker, with identifiers, context and their document's metadata (null
-    where docs doesn't have it), and further columns of the chunker's."""
+    where docs doesn't have it), and further columns of the chunker's. The key tells documents apart; `named_by` is the
+    column of their identifiers (the key, if not given), which documents of different addresses may share."""
     have = set(docs.columns)
-    named = docs.select(key, F.col(text).alias("_text"), *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(f"_{c}") for c, kind in META.items()])
-    rows = chunk(named, name, key, "_text", carry=[f"_{c}" for c in META], **options)
-    doc = F.col(key).cast("string")
+    named = docs.select(key, F.col(text).alias("_text"), *([F.col(named_by).alias("_named_by")] if named_by else []), *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(f"_{c}") for c, kind in META.items()])
+    rows = chunk(named, name, key, "_text", carry=[*(["_named_by"] if named_by else []), *[f"_{c}" for c in META]], **options)
+    doc = F.col("_named_by" if named_by else key).cast("string")
     context = context_line(F.col("_title"), F.col("heading_path"))
     meta = {c: F.col(f"_{c}").alias(c) for c in META} | {"breadcrumbs": F.coalesce("_breadcrumbs", F.array().cast(_PARTS)).alias("breadcrumbs")}
     return rows.select(

@@ -158,7 +158,7 @@ def prepare(source: Source, store: Store, profile: str, run_id: str, only: Colum
     docs = doc_rows(work, source.name).join(pages.where("extract_error is null").select("url", "markdown"), "url").persist()
     records = None
     if fmt == "chunks":
-        records = chunk_records(docs, name, **options).persist()
+        records = chunk_records(docs, name, key="url", named_by="doc_id", **options).persist()
         result.chunks = records.count()
     result.written = write_files(document_files(docs, fmt, records), folder).count()
     gone = actions.where("action = 'remove'")
