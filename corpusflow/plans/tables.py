@@ -44,20 +44,21 @@ def mirror_actions(current: DataFrame, state: DataFrame, existing: DataFrame | N
     return both.select("target", F.when(F.col("now").isNull(), "delete").when(F.col("now").eqNullSafe(F.col("was")) & there, "unchanged").otherwise("copy").alias("action"))
 
 
-def prepare_actions(manifest: DataFrame, state: DataFrame, only: Column | None = None, full: bool = False, refresh_metadata: bool = False) -> DataFrame:
+def prepare_actions(manifest: DataFrame, state: DataFrame, only: Column | None = None, full: bool = False, refresh_metadata: bool = False, key: str = "url") -> DataFrame:
     """url, doc_id, action: 'remove' (gone, had output), 'skip' (output is current), 'write'; other pages have no row.
 
     manifest: url, doc_id, status, raw_path, version, content_hash (and page_last_updated); state: url, version,
-    content_hash (and page_last_updated). A full run rewrites everything and still removes what is gone.
+    content_hash (and page_last_updated). A full run rewrites everything and still removes what is gone. `key`, a column
+    of both, says which output is a page's; state has it once.
     """
     fields = ["version", "content_hash", *(["page_last_updated"] if refresh_metadata else [])]
-    rows = manifest.join(state.select(F.col("url").alias("_url"), *[F.col(f).alias(f"_{f}") for f in fields]), F.col("url") == F.col("_url"), "left")
-    current = F.col("_url").isNotNull()
+    rows = manifest.join(state.select(F.col(key).alias("_key"), *[F.col(f).alias(f"_{f}") for f in fields]), F.col(key) == F.col("_key"), "left")
+    current = F.col("_key").isNotNull()
     for f in fields:
         current = current & F.col(f).eqNullSafe(F.col(f"_{f}"))
     live = (F.col("status") == "active") & F.col("raw_path").isNotNull()
     chosen = live if only is None else live & only
-    action = F.when((F.col("status") == "removed") & F.col("_url").isNotNull(), "remove").when(chosen & current & F.lit(not full), "skip").when(chosen, "write")
+    action = F.when((F.col("status") == "removed") & F.col("_key").isNotNull(), "remove").when(chosen & current & F.lit(not full), "skip").when(chosen, "write")
     return rows.select("url", "doc_id", action.alias("action")).where("action is not null")
 
 
